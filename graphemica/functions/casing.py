@@ -28,24 +28,21 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def fold(text: Column | str, mode: str | None = None) -> Column:
     """Full case folding as an expression: nothing leaves the JVM, and it can be a join or grouping key.
 
-    ASCII rows take ``lower``; others one ``translate`` for the one-to-one folds; only rows that hold one of
-    the hundred characters that fold to several take the replacements.
+    Rows of Latin-1 take ``lower`` and the two Latin-1 letters that fold otherwise; others one ``translate``
+    for the one-to-one folds; only rows that hold one of the hundred characters that fold to several take the
+    replacements.
     """
     c = _col(text)
     if kernel.is_turkic(mode):
         c = F.translate(c, "\u0130I", "i\u0131")
     source, target, several = _fold_tables()
-    # Literal arguments: the dictionary of translate is built once per task.
     folded = F.translate(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), source, target)
-    common = (("\u00df", "ss"),)
-    rest = [(a, b) for a, b in several if (a, b) not in common]
-    simple = F.replace(folded, F.lit("\u00df"), F.lit("ss"))
-    full = simple
-    for a, b in rest:
+    full = folded
+    for a, b in several:
         full = F.replace(full, F.lit(a), F.lit(b))
-    pattern = "[" + "".join(a for a, _ in rest) + "]"
-    ascii_only = ~c.rlike("[^\\x00-\\x7F]")
-    return F.when(ascii_only, F.lower(c)).when(c.rlike(pattern), full).otherwise(simple)
+    some = "[" + "".join(a for a, _ in several) + "]"
+    plain = F.replace(F.replace(F.lower(c), F.lit("\u00df"), F.lit("ss")), F.lit("\u00b5"), F.lit("\u03bc"))
+    return F.when(~c.rlike("[^\\x00-\\xFF]"), plain).when(c.rlike(some), full).otherwise(folded)
 
 
 def equals_ignoring_case(a: Column | str, b: Column | str, mode: str | None = None) -> Column:
