@@ -78,11 +78,13 @@ RULES = (
     ("all-rights-reserved", ("copyright", "all-rights")),
     ("all-rights-reserved", ("all-rights",)),
 )
+#: No known sentence has more characters.
+LONGEST = 1200
 #: Every known sentence holds one of these.
 TRIGGERS = r"licen[sc]e|copyright|©|\([cC]\)|rights\s+reserved|redistribut|warrant|as is|permission|public\s+domain|liable|useful"
 _KNOWN = re.compile("|".join(f"(?P<s{i}>{p})" for i, (_, p) in enumerate(SENTENCES)))
 _TRIGGER = re.compile(TRIGGERS, re.I)
-_END = re.compile(r"(?<=[.!?:;])\s+|\n\s*\n")
+_END = re.compile(r"(?<!\bv\.)(?<=[.!?])\s+|\n\s*\n")
 _EDGE = re.compile(r"^[\s#*/;\-|>\"'.,:]+|[\s#*/;\-|<\"'.,:!?]+$")
 _MATCHES = "doc_id long, license string, sentence_ids string, first_sentence long, n_sentences long"
 _MATCHES_ARROW = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("sentence_ids", pa.string()), ("first_sentence", pa.int64()), ("n_sentences", pa.int64())])
@@ -108,27 +110,36 @@ def sentence_id(sentence: str) -> str | None:
 
 
 def identifiers(text: str) -> list[tuple[int, str | None]]:
-    """(sentence number, identifier or None).  A sentence whose last lines are a known one is cut there."""
-    out, n = [], 0
+    """(sentence number, identifier or None).  Known sentences may stand in lines of their own, without a
+    period before or after them; the lines between are one unknown sentence."""
+    out: list[tuple[int, str | None]] = []
     for sentence in _END.split(text):
-        lines = sentence.split("\n") if _TRIGGER.search(sentence) else [sentence]
-        while lines:
-            for a in range(len(lines)):
-                found = sentence_id(normal_sentence("\n".join(lines[a:]))) if _TRIGGER.search("\n".join(lines[a:])) else None
-                if found:
+        if not _TRIGGER.search(sentence):
+            out.append((len(out), None))
+            continue
+        lines = sentence.split("\n")
+        sizes = [len(" ".join(line.split())) for line in lines]
+        a, between = 0, False
+        while a < len(lines):
+            b = size = 0
+            for b in range(a, len(lines)):
+                size += sizes[b]
+                if size > LONGEST:
                     break
             else:
-                out.append((n, None))
-                n += 1
-                break
-            if a:
-                head = lines[:a]  # lines before the known sentence stand for themselves
-                for line in head:
-                    out.append((n, sentence_id(normal_sentence(line))))
-                    n += 1
-            out.append((n, found))
-            n += 1
-            break
+                b = len(lines)
+            found = None
+            while b > a and not (found := sentence_id(normal_sentence("\n".join(lines[a:b])))):
+                b -= 1
+            if found:
+                if between:
+                    out.append((len(out), None))
+                out.append((len(out), found))
+                a, between = b, False
+            else:
+                a, between = a + 1, True
+        if between:
+            out.append((len(out), None))
     return out
 
 

@@ -401,7 +401,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, *, ids_col: str = "ids")
             texts = [t if known else None for t, known in zip(texts, column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
+    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit(None).cast("string")).schema)
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
