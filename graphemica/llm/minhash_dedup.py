@@ -200,13 +200,13 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """Group documents whose Jaccard similarity over shingles, TF-IDF weighted or plain, reaches ``threshold``.
 
-    Returns a row for each row of ``docs``: doc_id, class_id (the least doc_id of the group, its own if
-    alone) and class_rows (rows in the group).
+    Returns a row for each row of ``docs``: doc_id and class_id (the least doc_id of the group, its own if
+    alone).
 
     Words are runs of anything but ASCII white space, A-Z as a-z.  Defined cases: documents under
     ``shingle`` words are one shingle; null, empty and white texts have none and stand alone; rows of one
     doc_id with different texts join one group; repeated rows join their twin's group; rows with a null id
-    keep a null class_id and are 1; an empty table gives no rows.  Other columns are ignored.
+    keep a null class_id; an empty table gives no rows.  Other columns are ignored.
     """
     signed = _vectors(docs, id_col, text_col, shingle)
     known = signed.where("doc_id is not null and digest is not null")
@@ -226,9 +226,7 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = connected_components(ends.unionByName(tied))
     least = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     grouped = least.join(found, least.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = signed.select("doc_id", "digest").join(grouped, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-    sizes = out.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_rows"))
-    return out.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"))
+    return signed.select("doc_id", "digest").join(grouped, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
