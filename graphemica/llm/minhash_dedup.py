@@ -35,6 +35,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Members of a band bucket whose pairs are all compared besides the links to its leaders.
 SMALL = 12
+#: Parts of a group of equal documents when their class is handed out.
+SALTS = 16
 _SENT = "hb long, dest long, blob binary"
 _SENT_ARROW = pa.schema([("hb", pa.int64()), ("dest", pa.int64()), ("blob", pa.binary())])
 _ROW = "doc_id long, digest binary, bands array<long>, total double, shingles long, vector binary"
@@ -212,9 +214,10 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     known = signed.where("doc_id is not null and digest is not null")
     nodes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     pairs = materialize(_candidates(nodes), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    vectors = known.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("total", "shingles", "vector")).alias("w"))
-    vectors = materialize(vectors.select("digest", "rep", "w.total", "w.shingles", "w.vector"), "vectors")
+    # one row per digest has the vector; it is met by document and digest, which deals copies out evenly
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.select("digest", "rep"), "digest").select("digest", F.col("rep").alias("doc_id"))
+    vectors = known.join(needed, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min(F.struct("total", "shingles", "vector")).alias("w"))
+    vectors = materialize(vectors.select("digest", F.col("doc_id").alias("rep"), "w.total", "w.shingles", "w.vector"), "vectors")
     left = vectors.select(F.col("digest").alias("a"), F.col("total").alias("ta"), F.col("shingles").alias("na"), F.col("vector").alias("va"))
     right = vectors.select(F.col("digest").alias("b"), F.col("total").alias("tb"), F.col("shingles").alias("nb"), F.col("vector").alias("vb"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "na", "nb", "va", "vb").mapInArrow(_similar(threshold), "a binary, b binary, similarity double")
@@ -224,9 +227,11 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     versions = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     tied = known.join(versions, "doc_id", "left_semi").select("doc_id", "digest").join(nodes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = connected_components(ends.unionByName(tied))
-    least = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    grouped = least.join(found, least.rep == found.node, "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    return signed.select("doc_id", "digest").join(grouped, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    # documents with a class other than their own meet it by digest and a salt; the others need no join
+    counted = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    grouped = counted.join(found, counted.rep == found.node, "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("class_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return own.join(grouped, ["digest", "salt"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
