@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphemica.llm.textarrays import mix, text_buffer
+from graphemica.llm.textarrays import blocks_of, mix, release, text_buffer
 
 #: Edits per byte of an item; items under LEAST bytes are no evidence; bytes of items in a scan.
 RATE, LEAST, CHUNK_BYTES = 0.08, 20, 8 << 20
@@ -166,21 +166,29 @@ def scan(column: pa.Array, pieces: Pieces) -> Iterator[tuple[int, int, int, int,
         t = u
 
 
+def _points(data: np.ndarray) -> int:
+    """Code points in UTF-8 bytes."""
+    return int(((data & 0xC0) != 0x80).sum())
+
+
 def _scanner(items: list[tuple[int, bytes]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(items, rate)
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            rows = list(scan(column, pieces))
-            if not rows:
-                continue
-            data, offsets = text_buffer(column)
-            head = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-            spans = [(int(head[s] - head[offsets[r]]), int(head[e] - head[offsets[r]])) for r, _, _, s, e in rows]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([ids[r].as_py() for r, *_ in rows], pa.int64()), pa.array([items[n][0] for _, n, *_ in rows], pa.int64()),
-                pa.array([d for _, _, d, _, _ in rows], pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64()),
-            ], schema=_HITS_ARROW)
+            at = 0
+            for column in blocks_of(batch.column(1)):
+                ids = batch.column(0).slice(at, len(column))
+                at += len(column)
+                rows = list(scan(column, pieces))
+                if not rows:
+                    continue
+                data, offsets = text_buffer(column)
+                spans = [(_points(data[offsets[r] : s]), _points(data[offsets[r] : e])) for r, _, _, s, e in rows]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([ids[r].as_py() for r, *_ in rows], pa.int64()), pa.array([items[n][0] for _, n, *_ in rows], pa.int64()),
+                    pa.array([d for _, _, d, _, _ in rows], pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64()),
+                ], schema=_HITS_ARROW)
+            release()
 
     return run
 

@@ -6,10 +6,15 @@ the cost per byte is a handful of array passes and no Python object is made per
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 
+#: glibc keeps freed blocks; other C libraries have no such call and need none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: ASCII white space: space and U+0009 to U+000D.  A word is a maximal run of anything else.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,6 +38,13 @@ _powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 _STEP = 1 << 20
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))
