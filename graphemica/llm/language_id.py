@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphemica.llm.textarrays import release
+
 GRAMS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Bounds of training: labelled rows read, landmarks, characters of text, languages.
@@ -159,6 +161,7 @@ def _predictor(model: bytes, text_col: str, names: list[str]):
         for batch in batches:
             langs, scores = known.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            release()
 
     return run
 

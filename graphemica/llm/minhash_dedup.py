@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphemica.llm.buckets import bucket_count, corpus_size, cut_by_bucket, materialize
 from graphemica.llm.components import connected_components
-from graphemica.llm.textarrays import Words, gaps, mix, pack, unpack, window_hashes
+from graphemica.llm.textarrays import Words, gaps, mix, pack, release, unpack, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8^3)^10 = 0.9992: the chance that a pair at the threshold shares a band.
@@ -80,6 +80,8 @@ def _send(size: int, buckets: int) -> Callable:
     def send(table: pa.Table) -> pa.Table:
         dest, b = table.column("__dest")[0].as_py(), _Bucket(table, size)
         rows = [(hb, dest, pack(gaps(b.distinct[i:j]), np.minimum(b.df[i:j], 0xFFFFFFFF).astype(np.uint32))) for hb, i, j in cut_by_bucket(b.distinct, buckets)]
+        del b
+        release()
         return _table(rows)
 
     return send
@@ -153,7 +155,10 @@ def _sign(size: int, buckets: int, corpus: int) -> Callable:
                 digests[d] = hashlib.blake2b(b.shingles[i:j].tobytes() + b.tf[i:j].tobytes(), digest_size=16).digest()
                 bands[d], totals[d], sizes[d] = keys[row], float(sums[row]), int(j - i)
                 vectors[d] = pack(gaps(b.shingles[i:j][many]), weights[i:j][many])
-        return pa.table([b.ids.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals, pa.float64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())], schema=_ROW_ARROW)
+        out = pa.table([b.ids.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals, pa.float64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())], schema=_ROW_ARROW)
+        del b, vectors
+        release()
+        return out
 
     return sign
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphemica.llm.textarrays import SpanCache, blocks_of, gathered, mix, text_buffer
+from graphemica.llm.textarrays import SpanCache, blocks_of, gathered, mix, release, text_buffer
 
 BAR = "▁"
 _U = np.uint64
@@ -364,6 +364,7 @@ def _mapper(tables, names: list[str], text_col: str, keep_text: bool):
                 decoded = [pa.array(decoder.decode(ids, offsets), pa.string())] if keep_text else []
                 yield pa.RecordBatch.from_arrays([*some, values, pa.array(np.diff(offsets), pa.int64()), *decoded], [*names, "ids", "n_tokens", *["decoded"][: len(decoded)]])
                 at += len(texts)
+            release()
 
     return run
 

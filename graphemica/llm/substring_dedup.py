@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphemica.llm.buckets import bucket_count, corpus_size, cut_by_bucket
-from graphemica.llm.textarrays import Words, covered, gaps, joined, pack, unpack, window_hashes
+from graphemica.llm.textarrays import Words, covered, gaps, joined, pack, release, unpack, window_hashes
 
 WINDOW = 20
 #: A perfect difference cover: every difference modulo 13 is one of two of its members.
@@ -88,7 +88,10 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 def _send_anchors(window: int, buckets: int) -> Callable:
     def send(table: pa.Table) -> pa.Table:
         dest, b = table.column("__dest")[0].as_py(), _Bucket(table, window, buckets)
-        return _sent([(hb, dest, pack(gaps(b.anchors[i:j]), b.times[i:j] > 1)) for hb, i, j in cut_by_bucket(b.anchors, buckets)])
+        out = _sent([(hb, dest, pack(gaps(b.anchors[i:j]), b.times[i:j] > 1)) for hb, i, j in cut_by_bucket(b.anchors, buckets)])
+        del b
+        release()
+        return out
 
     return send
 
@@ -126,7 +129,10 @@ def _send_windows(window: int, buckets: int) -> Callable:
             return _sent([])
         dest, b = table.column("__dest")[0].as_py(), _Bucket(table, window, buckets)
         b.windows(_bits(answers, 1, len(b.anchors), cut_by_bucket(b.anchors, buckets)))
-        return _sent([(hb, dest, pack(gaps(b.high[i:j]), b.low[i:j])) for hb, i, j in cut_by_bucket(b.high, buckets)])
+        out = _sent([(hb, dest, pack(gaps(b.high[i:j]), b.low[i:j])) for hb, i, j in cut_by_bucket(b.high, buckets)])
+        del b
+        release()
+        return out
 
     return send
 
@@ -142,7 +148,10 @@ def _cut(window: int, buckets: int, schema: pa.Schema, carry: list[str]) -> Call
         gone = covered(bad, window, len(b.words))
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[b.words.first])
         new = {"n_words": pa.array(b.words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": joined(b.words, ~gone).cast(pa.string())}
-        return pa.table([new[f.name] if f.name in new else b.table.column("__id" if f.name == "doc_id" else f"__c{carry.index(f.name)}").cast(f.type) for f in schema], schema=schema)
+        out = pa.table([new[f.name] if f.name in new else b.table.column("__id" if f.name == "doc_id" else f"__c{carry.index(f.name)}").cast(f.type) for f in schema], schema=schema)
+        del b, new
+        release()
+        return out
 
     return cut
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphemica.llm.buckets import MOST_BYTES, corpus_size, shared_folder, shuffle_partitions
-from graphemica.llm.textarrays import SpanCache, blocks_of, text_buffer
+from graphemica.llm.textarrays import SpanCache, blocks_of, release, text_buffer
 
 END = 0
 _NO_ID = -(1 << 63)
@@ -156,6 +156,7 @@ def _writer(definition, folder: str):
                         tokens += n
                     docs += len(rows)
                     index.append(np.array(rows, dtype="<i8").reshape(-1, 3))
+                release()
         with files.open_output_stream(f"{mine}.idx") as out:
             for rows in index:
                 out.write(rows.tobytes())
