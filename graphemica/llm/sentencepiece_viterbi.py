@@ -365,6 +365,7 @@ def _mapper(tables, names: list[str], text_col: str, keep_text: bool):
                 yield pa.RecordBatch.from_arrays([*some, values, pa.array(np.diff(offsets), pa.int64()), *decoded], [*names, "ids", "n_tokens", *["decoded"][: len(decoded)]])
                 at += len(texts)
             release()
+        encoder.cache.close()
 
     return run
 

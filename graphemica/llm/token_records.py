@@ -162,6 +162,7 @@ def _writer(definition, folder: str):
                 out.write(rows.tobytes())
         for kind_of in ("rec", "idx"):
             files.move(f"{mine}.{kind_of}", f"{root}/part-{part:05d}.{kind_of}")
+        pairs.cache.close()
         if docs:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:05d}"], "docs": [docs], "tokens": [tokens], "width": pa.array([kind.itemsize], pa.int32())})
 
