@@ -36,6 +36,8 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << 40
 #: Characters in a batch of equal words.
 _CELLS = 1 << 20
+#: Words that a worker remembers, and bytes of text that it takes at a time: both bound its memory.
+REMEMBERED, TAKEN = 300_000, 3 << 20
 
 
 def _key(text: str) -> int:
@@ -156,7 +158,7 @@ class Encoder:
         self.of = {tables.names[i]: int(i) for i in tables.ids}
         usable = tables.scores[tables.ids]
         self.unknown_score = (usable.min() if len(usable) else 0.0) - 10.0
-        self.cache = SpanCache(self._each)
+        self.cache = SpanCache(self._each, REMEMBERED)
 
     def _piece(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, or -1."""
@@ -357,7 +359,7 @@ def _mapper(tables, names: list[str], text_col: str, keep_text: bool):
         encoder, decoder = Encoder(tables.value), Decoder(tables.value)
         for batch in batches:
             at = 0
-            for texts in blocks_of(batch.column(text_col)):
+            for texts in blocks_of(batch.column(text_col), TAKEN):
                 ids, offsets = encoder.encode(texts)
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
                 some = [batch.column(n).slice(at, len(texts)) for n in names]
@@ -370,8 +372,9 @@ def _mapper(tables, names: list[str], text_col: str, keep_text: bool):
     return run
 
 
-def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", decode: bool = False) -> DataFrame:
-    """Add ids (array of int) and n_tokens, and with ``decode`` the text that the ids give back.
+def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", decode: bool = False, keep_text: bool = True) -> DataFrame:
+    """Add ids (array of int) and n_tokens, and with ``decode`` the text that the ids give back.  Without
+    ``keep_text`` the text column stays behind.
 
     Ids are those of the sentencepiece library for the same model.  Decoding gives the text again, with U+2581
     as a space.  Defined cases: null and empty texts have no ids and decode to empty; characters outside the
@@ -380,10 +383,11 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", d
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(load(model_path))
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
-    kept = docs.select(*(f"`{c}`" for c in names))
+    source = docs.select(*(f"`{c}`" for c in docs.columns if c == text_col or c not in ("ids", "n_tokens", "decoded")))
+    names = [c for c in source.columns if c not in ("ids", "n_tokens", "decoded") and (keep_text or c != text_col)]
+    kept = source.select(*(f"`{c}`" for c in names))
     new = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")} | ({"decoded": F.lit("")} if decode else {})
-    return kept.mapInArrow(_mapper(tables, names, text_col, decode), kept.withColumns(new).schema)
+    return source.mapInArrow(_mapper(tables, names, text_col, decode), kept.withColumns(new).schema)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, *, ids_col: str = "ids") -> DataFrame:
