@@ -218,3 +218,30 @@ def suppression_counts(spark, sf_dir):
 
     plain = F.col("locale").isin("de", "en", "es", "fr", "it", "pt", "ru")
     return suppressions_frame(spark).where(plain).groupBy("locale").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@_query("SELECT * FROM (VALUES ('grapheme_cluster_break', 13), ('word_break', 22), ('sentence_break', 11)) t(break_type, n)")
+def segment_rule_counts(spark, sf_dir):
+    from graphemica.sources.cldr import segment_frames
+
+    return segment_frames(spark)[1].groupBy("break_type").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+_DICTIONARY = (
+    ("zh", "布鲁赫", "布|鲁|赫"), ("yue_Hant", "明德", "明德"), ("th", "สวัสดีเจ้านาย", "สวัสดี|เจ้า|นาย"), ("lo", "ສະບາຍດີນາຍຈ້າງ", "ສະບາຍດີ|ນາຍ|ຈ້າງ"),
+    ("my", "မင်္ဂလာပါ သူဌေး", "မင်္ဂလာ|ပါ| |သူဌေး"), ("km", "ជំរាបសួរចៅហ្វាយ", "ជំរាបសួរ|ចៅហ្វាយ"), ("ja", "ISO 8601形式の日付", "ISO| |8601|形式|の|日付"), ("en", "abc_キロ", "abc_キロ"),
+)
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{c}')" for a, _, c in _DICTIONARY) + ") t(locale, words)")
+def dictionary_words(spark, sf_dir):
+    from graphemica.functions.segmentation import split_by_locale
+
+    rows = spark.createDataFrame([(a, b) for a, b, _ in _DICTIONARY], "locale string, text string")
+    return rows.select("locale", F.array_join(split_by_locale("text", "locale"), "|").alias("words"))
+
+
+@_query("SELECT * FROM (VALUES ('Weiß', 'weiss', 'weiss'), ('I', 'i', 'ı'), ('İ', 'i̇', 'i')) t(text, folded, turkic)")
+def fold_modes(spark, sf_dir):
+    rows = spark.createDataFrame([("Weiß",), ("I",), ("İ",)], "text string")
+    return rows.select("text", G.fold("text").alias("folded"), G.fold("text", "turkic").alias("turkic"))

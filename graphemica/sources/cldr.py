@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from graphemica.kernels.locales import ancestors, segmentation_locale
 
 _SETS = {"GraphemeClusterBreak": "grapheme_cluster_break", "LineBreak": "line_break", "SentenceBreak": "sentence_break", "WordBreak": "word_break"}
+#: LDML files of this package.
+BUNDLED = Path(__file__).parent / "ldml"
 _suppressions: dict[str, tuple[str, ...]] = {}
 
 
@@ -75,8 +77,12 @@ def read_ldml(path: str | Path) -> dict[str, SegmentData]:
     return out
 
 
-def read_segments(folder: str | Path, locale: str) -> dict[str, SegmentData]:
-    """A locale's data after that of its ancestors, root first.  Locales without a file add nothing."""
+def read_segments(folder: str | Path | None = None, locale: str = "root") -> dict[str, SegmentData]:
+    """A locale's data after that of its ancestors, root first.  Locales without a file add nothing.
+
+    Without a folder, the files of this package: graphemes, words and sentences of root, and Greek sentences.
+    """
+    folder = BUNDLED if folder is None else folder
     merged: dict[str, SegmentData] = {}
     for name in reversed(ancestors(locale)):
         path = Path(folder) / f"{name.replace('-', '_')}.xml"
@@ -90,7 +96,7 @@ def read_segments(folder: str | Path, locale: str) -> dict[str, SegmentData]:
     return merged
 
 
-def segment_frames(spark: SparkSession, folder: str | Path, locale: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def segment_frames(spark: SparkSession, folder: str | Path | None = None, locale: str = "root") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variables, rules, suppressions) of a locale as tables."""
     data = read_segments(folder, locale)
     variables = [(locale, k, i, n, v) for k, d in data.items() for i, (n, v) in enumerate(d.variables)]

@@ -37,6 +37,29 @@ def test_variables():
     assert r.suppressions_variable([]) is None and r.suppressions_variable(["Mr."])[0] == "$Suppressions"
 
 
+SAMPLES = ["Hello, don't 1,234.5 a_b x.", "a\u0301 b\r\nc", "\U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1fa\U0001f1f8\U0001f1ec\U0001f1e7\U0001f1eb", "\u0915\u094d\u0915 \uac01\u11a8", "He said. \"Go.\" Then 3.4 (end.) x! A. B", "\u05d0\"\u05d0 \u05d0' abc_\u30ad\u30ed", "etc. and so? Yes"]
+
+
+@pytest.mark.parametrize(("kind", "name"), [("grapheme", "grapheme_cluster_break"), ("word", "word_break"), ("sentence", "sentence_break")])
+def test_bundled_rules_equal_kernels(kind, name):
+    """The evaluator on the annex's rules, place by place, against the kernels."""
+    from graphemica.kernels.segment import Segmenter
+
+    data = read_segments()[name]
+    rules = r.compile_rules(data.rules, data.variables)
+    seg = Segmenter(kind)
+    for text in SAMPLES:
+        ends = set(seg.ends(text))
+        for i in range(1, len(text)):
+            assert (r.evaluate_rules((text[:i], text[i:]), rules)[0] == "break") == (i in ends), (text, i)
+
+
+def test_greek_tailoring():
+    root, greek = (read_segments(None, x)["sentence_break"] for x in ("root", "el"))
+    op = lambda d: r.evaluate_rules(("\u03b3; ", "\u0395"), r.compile_rules(d.rules, d.variables))[0]
+    assert (op(root), op(greek)) == ("no_break", "break")
+
+
 def test_frames(spark, folder):
     variables, rules, listed = segment_frames(spark, folder, "en")
     assert variables.count() == 3 and rules.count() == 3 and listed.first()["value"] == "Mr."
