@@ -9,10 +9,16 @@ the common ones around it, so the plain Jaccard similarity of the same shingles
 
 Plan: document frequencies come from one round of packed hash sets (see ``buckets``): shingles of one document
 only answer with a zero bit.  What two documents share lies among shingles of two documents or more, so a
-document's vector holds only those, and its total weight.  Documents with equal vectors are one node before
-any pairing.  A band bucket links each member to two leaders (least id, least hash), never all pairs; in
-buckets of up to SMALL members, whose pairs are bounded, all pairs are compared as well.  Verified links go
-through distributed connected components.
+document's vector holds only those, and its total weight.  If they are less than the threshold's share of the
+document, it has no partner and gets neither bands nor a vector.  Documents with equal vectors are one node
+before any pairing.
+
+Links are found in two passes.  First a band bucket links each member to two leaders (least id, least hash),
+and verified links go through distributed connected components: most buckets are of one component then.  A
+bucket that still holds several is compared across them, for similarity isn't transitive and two members may be
+alike though no leader is like both.  That is done in a grid of cells of bounded size (``_cells``): the
+bucket's largest component meets the others, and these each other, but never itself.  A cell returns links
+between components, no pairs of members, and at most one fewer than it has components.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from graphemica.llm.textarrays import Words, gaps, mix, pack, release, unpack, w
 SHINGLE, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8^3)^10 = 0.9992: the chance that a pair at the threshold shares a band.
 BANDS, ROWS = 10, 3
-#: Members of a band bucket whose pairs are all compared besides the links to its leaders.
-SMALL = 12
+#: Members of a block of a band bucket: a cell of the grid compares two blocks.
+BLOCK = 256
 #: Parts of a group of equal documents when their class is handed out.
 SALTS = 16
 _SENT = "hb long, dest long, blob binary"
@@ -127,7 +133,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sign(size: int, buckets: int, corpus: int) -> Callable:
+def _sign(size: int, buckets: int, corpus: int, threshold: float) -> Callable:
     scale = 1 / math.log(corpus) if corpus > 1 else 0.0
 
     def sign(answers: pa.Table, table: pa.Table) -> pa.Table:
@@ -147,14 +153,21 @@ def _sign(size: int, buckets: int, corpus: int) -> Callable:
         n = len(b.ids)
         bands, digests, totals, sizes, vectors = [None] * n, [None] * n, [0.0] * n, [0] * n, [None] * n
         if len(heads):
-            keys = band_keys(icws(b.shingles, np.log(weights), heads, BANDS * ROWS))
-            sums = np.add.reduceat(weights.astype(np.float64), heads)
-            for row, (i, j) in enumerate(zip(heads, [*heads[1:], len(b.docs)], strict=True)):
+            ends = np.append(heads[1:], len(b.docs))
+            sums, shared = (np.add.reduceat(w, heads) for w in (weights.astype(np.float64), np.where(df > 1, weights, 0).astype(np.float64)))
+            common = np.add.reduceat((df > 1).astype(np.int64), heads)
+            able = np.maximum(shared / sums, common / (ends - heads)) >= threshold - 1e-6
+            if able.any():
+                of = np.repeat(able, ends - heads)
+                starts = np.concatenate([[0], np.cumsum((ends - heads)[able])[:-1]])
+                keys = iter(band_keys(icws(b.shingles[of], np.log(weights[of]), starts, BANDS * ROWS)))
+            for row, (i, j) in enumerate(zip(heads, ends, strict=True)):
                 d = int(b.docs[i])
-                many = df[i:j] > 1
                 digests[d] = hashlib.blake2b(b.shingles[i:j].tobytes() + b.tf[i:j].tobytes(), digest_size=16).digest()
-                bands[d], totals[d], sizes[d] = keys[row], float(sums[row]), int(j - i)
-                vectors[d] = pack(gaps(b.shingles[i:j][many]), weights[i:j][many])
+                totals[d], sizes[d] = float(sums[row]), int(j - i)
+                if able[row]:
+                    many = df[i:j] > 1
+                    bands[d], vectors[d] = next(keys), pack(gaps(b.shingles[i:j][many]), weights[i:j][many])
         out = pa.table([b.ids.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals, pa.float64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())], schema=_ROW_ARROW)
         del b, vectors
         release()
@@ -163,24 +176,93 @@ def _sign(size: int, buckets: int, corpus: int) -> Callable:
     return sign
 
 
+def alike(x: tuple, y: tuple) -> float:
+    """The greater of weighted and plain Jaccard similarity; (total, shingles, hashes, weights) of each text."""
+    (ta, na, hx, wx), (tb, nb, hy, wy) = x, y
+    _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+    shared = float(np.minimum(wx[i], wy[j]).astype(np.float64).sum())
+    return max(shared / (ta + tb - shared), len(i) / (na + nb - len(i)))
+
+
+def _read(total: float, shingles: int, vector: bytes) -> tuple:
+    jumps, weights = unpack(vector)
+    return total, shingles, np.cumsum(jumps), weights
+
+
 def _similar(threshold: float) -> Callable:
     def similar(batches):
         for batch in batches:
             rows = []
-            for a, b, ta, tb, na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb", "na", "nb", "va", "vb")), strict=True):
-                (gx, wx), (gy, wy) = unpack(x), unpack(y)
-                _, i, j = np.intersect1d(np.cumsum(gx), np.cumsum(gy), assume_unique=True, return_indices=True)
-                shared = float(np.minimum(wx[i], wy[j]).astype(np.float64).sum())
-                alike = max(shared / (ta + tb - shared), len(i) / (na + nb - len(i)))
-                if alike >= threshold:
-                    rows.append((a, b, alike))
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+            for u, v, ta, tb, na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "ta", "tb", "na", "nb", "va", "vb")), strict=True):
+                if alike(_read(ta, na, x), _read(tb, nb, y)) >= threshold:
+                    rows.append((u, v))
+            cols = list(zip(*rows, strict=True)) or [(), ()]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
 
     return similar
 
 
-def _vectors(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _bounds(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Upper bounds of ``alike`` for every left text with every right one: min(x, y) <= sqrt(x y)."""
+    both = np.intersect1d(np.concatenate([v[2] for v in left]), np.concatenate([v[2] for v in right]))
+    plain, weighted = np.zeros((2, len(left), len(right)))
+    step = 1 << 13
+
+    def dense(side: list[tuple], cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen, root = np.zeros((2, len(side), len(cols)), dtype=np.float32)
+        for k, (_, _, hashes, weights) in enumerate(side):
+            # hashes and columns ascend, so a text's part of these columns is a slice
+            a, b = np.searchsorted(hashes, cols[0]), np.searchsorted(hashes, cols[-1], side="right")
+            at = np.minimum(np.searchsorted(cols, hashes[a:b]), len(cols) - 1)
+            hit = cols[at] == hashes[a:b]
+            seen[k, at[hit]], root[k, at[hit]] = 1, np.sqrt(weights[a:b][hit])
+        return seen, root
+
+    for c in range(0, len(both), step):
+        (sx, rx), (sy, ry) = dense(left, both[c : c + step]), dense(right, both[c : c + step])
+        plain += sx @ sy.T
+        weighted += rx @ ry.T
+    tx, nx = (np.array([v[k] for v in left], dtype=np.float64)[:, None] for k in (0, 1))
+    ty, ny = (np.array([v[k] for v in right], dtype=np.float64)[None, :] for k in (0, 1))
+    weighted = np.minimum(weighted, np.minimum(tx, ty))
+    return np.maximum(plain / (nx + ny - plain), weighted / (tx + ty - weighted))
+
+
+def _across(threshold: float) -> Callable:
+    """Links between components of one cell: block ``p`` against block ``q`` of a bucket."""
+
+    def across(table: pa.Table) -> pa.Table:
+        get = {c: table.column(c).to_pylist() for c in ("p", "block", "component", "total", "shingles", "vector")}
+        texts = [_read(*x) for x in zip(get["total"], get["shingles"], get["vector"], strict=True)]
+        block, parts = np.array(get["block"]), get["component"]
+        left = np.flatnonzero(block == get["p"][0])
+        right = np.flatnonzero(block != get["p"][0]) if (block != block[0]).any() else left
+        root = {c: c for c in parts}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        if len(left) and len(right):
+            # products of 32-bit floats may fall short by a rounding
+            bound = _bounds([texts[k] for k in left], [texts[k] for k in right])
+            for i, j in np.argwhere(bound >= threshold - 1e-3).tolist():
+                u, v = parts[left[i]], parts[right[j]]
+                x, y = find(u), find(v)
+                if x != y and alike(texts[left[i]], texts[right[j]]) >= threshold:
+                    root[x] = y
+                    links.append((u, v))
+        del texts
+        release()
+        cols = list(zip(*links, strict=True)) or [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+
+    return across
+
+
+def _vectors(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     spark = docs.sparkSession
     rows, volume = corpus_size(docs, text_col)
     buckets = bucket_count(spark, volume)
@@ -188,20 +270,39 @@ def _vectors(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     cut = docs.select(ident.alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.pmod(F.xxhash64(ident, F.octet_length(f"`{text_col}`")), F.lit(buckets)).alias("__dest"))
     texts = cut.groupBy("__dest")
     df = texts.applyInArrow(_send(size, buckets), _SENT).groupBy("hb").applyInArrow(_count, _SENT)
-    return materialize(df.groupBy("dest").cogroup(texts).applyInArrow(_sign(size, buckets, rows), _ROW), "minhash")
+    return materialize(df.groupBy("dest").cogroup(texts).applyInArrow(_sign(size, buckets, rows, threshold), _ROW), "minhash")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    return nodes.select("rep", F.posexplode("bands").alias("band", "key"))
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b) digests: each member of a band bucket with its leaders, and all pairs of small buckets."""
-    members = nodes.select("rep", "digest", F.posexplode("bands").alias("band", "key"))
-    me, hashed = F.struct("rep", "digest"), F.struct(F.xxhash64("digest").alias("h"), "digest")
-    heads = members.groupBy("band", "key").agg(F.min(me)["digest"].alias("l1"), F.min(hashed)["digest"].alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = members.join(heads, ["band", "key"])
-    stars = met.select(F.explode(F.array("l1", "l2")).alias("a"), F.col("digest").alias("b"))
-    small = met.where(F.col("n").between(3, SMALL)).groupBy("band", "key").agg(F.collect_list("digest").alias("all"))
-    pairs = small.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
-    both = stars.unionByName(pairs).where("a <> b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Distinct (u, v): each member of a band bucket with its two leaders."""
+    members, hashed = _members(nodes), F.struct(F.xxhash64("rep").alias("h"), "rep")
+    heads = members.groupBy("band", "key").agg(F.min("rep").alias("l1"), F.min(hashed)["rep"].alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = members.join(heads, ["band", "key"]).select(F.explode(F.array("l1", "l2")).alias("l"), "rep").where("l <> rep")
+    return stars.select(F.least("l", "rep").alias("u"), F.greatest("l", "rep").alias("v")).distinct()
+
+
+def _cells(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, p, q, block, rep, component): the members of buckets of several components, by cell.
+
+    A bucket's largest component is its main part and the others are the rest.  Blocks of the rest have the
+    numbers from 0, blocks of the main part those after them; cells are (p, q) with p <= q and p in the rest.  So
+    a main member is in as many cells as the rest has blocks, and an outlier of a hot bucket costs one pass over it.
+    Buckets of the same members (in several bands) are compared once.
+    """
+    members = _members(nodes).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.sum("mark").alias("mark")).where("parts > 1 and n > 2")
+    one = mixed.groupBy("n", "mark").agg(F.min(F.struct("band", "key", "top")).alias("b"))
+    grid = one.select("b.band", "b.key", F.col("b.top.component").alias("main"), F.ceil((F.col("n") - F.col("b.top.n")) / BLOCK).alias("rests"), F.ceil(F.col("b.top.n") / BLOCK).alias("mains"))
+    mine, at = F.col("component") == F.col("main"), F.xxhash64("rep")
+    block = F.when(mine, F.col("rests") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("rests")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(mine, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1))
+    placed = members.join(grid, ["band", "key"]).withColumn("block", block).withColumn("other", other)
+    return placed.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component")
 
 
 def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,25 +316,28 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     doc_id with different texts join one group; repeated rows join their twin's group; rows with a null id
     keep a null class_id; an empty table gives no rows.  Other columns are ignored.
     """
-    signed = _vectors(docs, id_col, text_col, shingle)
+    signed = _vectors(docs, id_col, text_col, shingle, threshold)
     known = signed.where("doc_id is not null and digest is not null")
-    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    counted = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # equal texts are one node, named by its least doc_id; texts that share that name are one group anyway
+    nodes = materialize(known.where("bands is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     pairs = materialize(_candidates(nodes), "pairs")
     # one row per digest has the vector; it is met by document and digest, which deals copies out evenly
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.select("digest", "rep"), "digest").select("digest", F.col("rep").alias("doc_id"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(nodes.select("digest", "rep"), "rep").select("digest", F.col("rep").alias("doc_id"))
     vectors = known.join(needed, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min(F.struct("total", "shingles", "vector")).alias("w"))
-    vectors = materialize(vectors.select("digest", F.col("doc_id").alias("rep"), "w.total", "w.shingles", "w.vector"), "vectors")
-    left = vectors.select(F.col("digest").alias("a"), F.col("total").alias("ta"), F.col("shingles").alias("na"), F.col("vector").alias("va"))
-    right = vectors.select(F.col("digest").alias("b"), F.col("total").alias("tb"), F.col("shingles").alias("nb"), F.col("vector").alias("vb"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "na", "nb", "va", "vb").mapInArrow(_similar(threshold), "a binary, b binary, similarity double")
-    reps = vectors.select("digest", "rep")
-    ends = links.join(reps.withColumnsRenamed({"digest": "a", "rep": "u"}), "a").join(reps.withColumnsRenamed({"digest": "b", "rep": "v"}), "b").select("u", "v")
+    vectors = materialize(vectors.select(F.col("doc_id").alias("rep"), "w.total", "w.shingles", "w.vector"), "vectors")
+    left = vectors.select(F.col("rep").alias("u"), F.col("total").alias("ta"), F.col("shingles").alias("na"), F.col("vector").alias("va"))
+    right = vectors.select(F.col("rep").alias("v"), F.col("total").alias("tb"), F.col("shingles").alias("nb"), F.col("vector").alias("vb"))
+    links = pairs.join(left, "u").join(right, "v").select("u", "v", "ta", "tb", "na", "nb", "va", "vb").mapInArrow(_similar(threshold), "u long, v long")
     # rows of one doc_id with different texts are linked through it
     versions = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    tied = known.join(versions, "doc_id", "left_semi").select("doc_id", "digest").join(nodes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = connected_components(ends.unionByName(tied))
+    tied = known.join(versions, "doc_id", "left_semi").select("doc_id", "digest").join(counted.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    found = materialize(connected_components(links.unionByName(tied)), "found")
+    cells = _cells(nodes, found).join(vectors, "rep").groupBy("band", "key", "p", "q")
+    across = materialize(cells.applyInArrow(_across(threshold), "u long, v long"), "across")
+    if not across.isEmpty():
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across))
     # documents with a class other than their own meet it by digest and a salt; the others need no join
-    counted = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     grouped = counted.join(found, counted.rep == found.node, "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("class_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     return own.join(grouped, ["digest", "salt"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

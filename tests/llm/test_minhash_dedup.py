@@ -70,6 +70,39 @@ def test_near_copies(spark):
     assert len(edges) > 40 and len(set(want.values())) > 10
 
 
+@pytest.mark.parametrize("block", [5, 256])
+def test_pairs_in_large_buckets(spark, monkeypatch, block):
+    """Many documents share a passage and so their buckets; twins among them are unlike every leader."""
+    monkeypatch.setattr(m, "BLOCK", block)
+    rnd = random.Random(4)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randrange(10**6))
+    passage, docs = [word() for _ in range(150)], []
+    for _ in range(90):
+        own = [word() for _ in range(rnd.randint(18, 22))]
+        for _ in range(rnd.choice([1, 2, 2, 3])):
+            w = own[:]
+            for _ in range(rnd.choice([1, 2, 3])):
+                w[rnd.randrange(len(w))] = word()
+            docs.append((len(docs) + 1, " ".join(passage + w)))
+    rnd.shuffle(docs)
+    want, edges = brute(docs)
+    assert len(edges) > 40 and len(set(want.values())) > 30
+    assert run(spark, docs) == want
+
+
+def test_no_bound_is_under_the_similarity():
+    rng = np.random.default_rng(3)
+
+    def text():
+        hashes = np.unique(rng.integers(1, 60, 40, dtype=np.uint64))
+        weights = rng.uniform(1, 9, len(hashes)).astype(np.float32)
+        return float(weights.sum()) + 1, len(hashes) + 1, hashes, weights
+
+    a, b = [text() for _ in range(12)], [text() for _ in range(9)]
+    bound = m._bounds(a, b)
+    assert all(bound[i, j] >= m.alike(x, y) - 1e-4 for i, x in enumerate(a) for j, y in enumerate(b))
+
+
 def test_query(spark, duck):
     docs = duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
     assert {r.doc_id: r.class_id for r in m.op7_minhash_dedup(spark, SMALL).collect()} == brute(docs)[0]
