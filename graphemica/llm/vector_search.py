@@ -5,7 +5,9 @@ The error of a quantised vector along the vector itself changes its largest prod
 times the error across it (Guo et al. 2020); codebooks and codes minimise that loss by coordinate descent and
 a closed-form update.  A query's products with all centres, rounded to eight bits, make its tables; two parts
 share a byte, and a scan adds one table entry per byte.  The SHORTLIST best of a block are reranked by the
-cosine of the original vectors in double precision.
+cosine of the original vectors in double precision, and after them every row that could still be among the best:
+the angle between a vector and its quantised form is known, so the scan bounds the angle to the query from below.
+The result is that of brute force.
 
 Plan: the query set is a fixed share of the rows, so queries meet rows in a grid of (query block, row block),
 each held by one task; every cell keeps only its best few, and a rank-limited window joins the cells.  The
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a cell and queries of a cell, at least and at most; training rows; rows that a cell reranks per query.
+#: Rows of a cell and queries of a cell, at least and at most; training rows; rows that a cell reranks per query before it has a bound.
 ROWS, MOST_ROWS, QUERIES, MOST_QUERIES, TRAIN, SHORTLIST = 4096, 65536, 1024, 16384, 8192, 192
 CENTRES, PART, THRESHOLD = 16, 2, 0.2
 _FOUND = "query_id long, vec_id long, score double"
@@ -99,13 +101,25 @@ def pack_codes(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] << 4 | codes[:, 1::2]
 
 
-def scan(book: Codebook, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """queries x rows: rounded table sums, larger for larger products."""
-    tables = np.einsum("qmp,mkp->mkq", _parts(queries), book.centres)  # parts x CENTRES x queries
+def unpack_codes(packed: np.ndarray) -> np.ndarray:
+    return np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)
+
+
+def _tables(book: Codebook, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Eight-bit tables (parts x CENTRES x queries), the step of a query and its sum of least entries."""
+    tables = np.einsum("qmp,mkp->mkq", _parts(queries), book.centres)
     low = tables.min(axis=1, keepdims=True)
     step = np.maximum((tables - low).max(axis=(0, 1)), 1e-30) / 255
-    eight = np.rint((tables - low) / step).astype(np.int16)
-    out = np.zeros((packed.shape[0], queries.shape[0]), dtype=np.int16 if packed.shape[1] * 510 < 32767 else np.int32)
+    return np.rint((tables - low) / step).astype(np.int16), step, low.sum(axis=(0, 1))
+
+
+def scan(book: Codebook, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """queries x rows: rounded table sums, larger for larger products."""
+    return _sums(_tables(book, queries)[0], packed)
+
+
+def _sums(eight: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    out = np.zeros((packed.shape[0], eight.shape[2]), dtype=np.int16 if packed.shape[1] * 510 < 32767 else np.int32)
     for b in range(packed.shape[1]):
         pair = (eight[2 * b][:, None, :] + eight[2 * b + 1][None, :, :]).reshape(256, -1)
         out += pair[packed[:, b]]
@@ -123,6 +137,28 @@ def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(a) * np.sqrt(b))
 
 
+class _Reach:
+    """Which rows of a cell may have a cosine of at least some value, by their codes' table sums alone.
+
+    With the angle a between a row and its quantised form, b between that and the query, and g of the value,
+    the row's angle to the query is at least b - a, so the row is out if cos b < cos(a + g).
+    """
+
+    def __init__(self, book: Codebook, units: np.ndarray, packed: np.ndarray):
+        codes = unpack_codes(packed)
+        quantised = book.centres[np.arange(codes.shape[1]), codes]
+        self.length = np.sqrt((quantised * quantised).sum(axis=(1, 2)))
+        along = (quantised * _parts(units)).sum(axis=(1, 2)) / np.maximum(self.length, 1e-30)
+        self.angle = np.arccos(np.clip(along, -1, 1))
+        self.parts = codes.shape[1]
+
+    def rows(self, sums: np.ndarray, step: float, low: float, value: float) -> np.ndarray:
+        # an entry is rounded by half a step at most
+        product = low + step * (sums + self.parts / 2) + 1e-6
+        most = np.minimum(self.angle + math.acos(min(max(value, -1.0), 1.0)), math.pi)
+        return np.flatnonzero(product >= self.length * np.cos(most))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
@@ -150,19 +186,33 @@ def _cell(book: Codebook, d: int, best: int, shortlist: int):
         ids, x = rows.column("id").to_numpy(), _matrix(rows.column("v"), d)
         packed = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         qids, q = queries.column("id").to_numpy(), _matrix(queries.column("v"), d)
+        units = _unit(x)
+        reach = _Reach(book, units, packed)
         n, out = len(ids), []
         for a in range(0, len(q), 128):
             mine, own = q[a : a + 128], qids[a : a + 128]
-            key = scan(book, _unit(mine), packed).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+            mine_units = _unit(mine)
+            eight, step, low = _tables(book, mine_units)
+            sums = _sums(eight, packed)
+            key = sums.astype(np.int64) * n + np.arange(n - 1, -1, -1)
             key[ids[None, :] == own[:, None]] = -1  # not its own row
-            take = min(shortlist, n)
+            take = min(max(shortlist, best), n)
             at = np.argpartition(-key, take - 1, axis=1)[:, :take]
             score = cosines(mine, x[at])
             score[np.take_along_axis(key, at, axis=1) < 0] = -np.inf
-            order = np.lexsort((ids[at], -score), axis=1)[:, :best]
-            at, score = np.take_along_axis(at, order, axis=1), np.take_along_axis(score, order, axis=1)
-            good = score > -np.inf
-            out.append((np.repeat(own, good.sum(axis=1)), ids[at][good], score[good]))
+            del key
+            # the best-th score of the shortlist is what a row must reach
+            worst = np.partition(score, take - best, axis=1)[:, take - best] if take >= best else np.full(len(mine), -np.inf)
+            for k in range(len(mine)):
+                near = reach.rows(sums[k], step[k], low[k], worst[k])
+                near = near[ids[near] != own[k]]
+                # products in any order of summation, then those near the cut in the order of ``cosines``
+                product = units[near] @ mine_units[k]
+                if len(near) > best:
+                    near = near[product >= np.partition(product, -best)[-best] - 1e-9]
+                exact = cosines(mine[k : k + 1], x[None, near])[0]
+                order = np.lexsort((ids[near], -exact))[:best]
+                out.append((np.full(len(order), own[k]), ids[near][order], exact[order]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table([pa.array(c) for c in cols], schema=schema)
 

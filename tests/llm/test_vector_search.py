@@ -49,6 +49,35 @@ def test_many_equal_vectors(spark):
     assert [i for i, _ in got[500]] == [0, 1, 2, 3, 4]
 
 
+def test_group_of_close_vectors_larger_than_the_shortlist(spark):
+    """1,500 vectors with cosines of 0.99 or more share few codes; their order is that of brute force."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    close = [centre + 0.05 * rng.normal(size=64) for _ in range(1500)]
+    rows = [(i, np.asarray(x, dtype=np.float32).tolist()) for i, x in enumerate(close + [rng.normal(size=64) for _ in range(2500)])]
+    x = np.array([r for _, r in rows], dtype=np.float32).astype(float)
+    want = {}
+    for q in range(0, 4000, 100):
+        score = v.cosines(x[q : q + 1], x[None])[0]
+        score[q] = -2
+        want[q] = np.lexsort((np.arange(4000), -score))[:5].tolist()
+    assert {q: [i for i, _ in found] for q, found in run(spark, rows, 100).items()} == want
+
+
+def test_no_row_of_a_value_is_out_of_reach():
+    rng = np.random.default_rng(6)
+    x = v._unit(rng.normal(size=(2000, 33)) + rng.normal(size=33) * rng.integers(0, 3, 2000)[:, None])
+    book = v.fit(x)
+    packed = v.pack_codes(book.encode(x))
+    assert (v.unpack_codes(packed) == book.encode(x)).all()
+    reach = v._Reach(book, x, packed)
+    eight, step, low = v._tables(book, x[:20])
+    sums = v._sums(eight, packed)
+    for k in range(20):
+        for value in (-1.0, -0.2, 0.0, 0.5, 0.9, 0.999):
+            assert set(np.flatnonzero(x @ x[k] >= value)) <= set(reach.rows(sums[k], step[k], low[k], value))
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     x = v._unit(np.random.default_rng(1).normal(size=(3000, 48)))
     book = v.fit(x)
