@@ -48,13 +48,10 @@ _SENT_ARROW = pa.schema([("hb", pa.int64()), ("dest", pa.int64()), ("blob", pa.b
 _ROW = "doc_id long, digest binary, bands array<long>, total double, shingles long, vector binary"
 _ROW_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("shingles", pa.int64()), ("vector", pa.binary())])
 
-# Random parts of the samples, as tables: r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1).
-_DRAWS = 1 << 14
-_random = np.random.Generator(np.random.PCG64(7))
-_R = _random.gamma(2.0, 1.0, _DRAWS).astype(np.float32)
-_LN_C = np.log(_random.gamma(2.0, 1.0, _DRAWS)).astype(np.float32)
-_BETA = _random.random(_DRAWS).astype(np.float32)
-_SALTS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Odd factors, one for each sample; shingles whose samples are drawn at a time, to stay in the cache.
+_SALTS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_DRAWN = 1 << 14
+
 
 
 class _Bucket:
@@ -108,18 +105,35 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([table.column("hb"), table.column("dest"), pa.array(blobs, pa.binary())], schema=_SENT_ARROW)
 
 
+def _uniform(bits: np.ndarray, low: int) -> np.ndarray:
+    """21 bits from ``low`` on, as a number within (0, 1)."""
+    return (((bits >> np.uint64(low)) & np.uint64(0x1FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21)
+
+
+def _draws(shingles: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1) of a shingle and salt, each from bits of its own."""
+    one = mix(shingles * salt)
+    two = mix(one + np.uint64(0x9E3779B97F4A7C15))
+    r = -np.log(_uniform(one, 0) * _uniform(one, 21))
+    ln_c = np.log(-np.log(_uniform(two, 0) * _uniform(two, 21)))
+    return r, ln_c, _uniform(one, 42)
+
+
 def icws(shingles: np.ndarray, log_weights: np.ndarray, starts: np.ndarray, samples: int) -> np.ndarray:
     """One 32-bit sample per segment and salt: the shingle whose ln a is least, ties to the smaller hash."""
     out = np.empty((len(starts), samples), dtype=np.uint32)
     low = shingles & np.uint64(0xFFFFFFFF)
+    key = np.empty(len(shingles), dtype=np.uint64)
     for k in range(samples):
-        draw = ((shingles * _SALTS[k]) >> np.uint64(50)).astype(np.intp)
-        r, beta = _R[draw], _BETA[draw]
-        t = np.floor(log_weights / r + beta)
-        ln_a = _LN_C[draw] - r * (t - beta + np.float32(1))
-        bits = ln_a.view(np.uint32)
-        key = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-        out[:, k] = (np.minimum.reduceat((key << np.uint64(32)) | low, starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for i in range(0, len(shingles), _DRAWN):
+            part = slice(i, i + _DRAWN)
+            r, ln_c, beta = _draws(shingles[part], _SALTS[k])
+            t = np.floor(log_weights[part] / r + beta)
+            ln_a = ln_c - r * (t - beta + np.float32(1))
+            bits = ln_a.view(np.uint32)
+            high = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
+            key[part] = high << np.uint64(32) | low[part]
+        out[:, k] = (np.minimum.reduceat(key, starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return out
 
 

@@ -141,6 +141,34 @@ def test_samples_agree_as_often_as_documents_are_similar():
     assert abs(agree - similar) / 30 < 0.06
 
 
+def test_samples_are_unbiased_over_independent_texts():
+    rng = np.random.default_rng(11)
+    agree = similar = 0.0
+    for _ in range(200):
+        a, w = rng.integers(1, 1 << 64, 400, dtype=np.uint64), rng.uniform(1, 3, 400).astype(np.float32)
+        b = a.copy()
+        b[:100] = rng.integers(1, 1 << 64, 100, dtype=np.uint64)
+        x, y = m.icws(np.concatenate([a, b]), np.log(np.concatenate([w, w])), np.array([0, 400]), 30)
+        agree += (x == y).mean() / 200
+        similar += w[100:].sum() / (w.sum() + w[:100].sum()) / 200
+    assert abs(agree - similar) < 0.025
+
+
+def test_samples_agree_in_texts_of_200000_shingles():
+    """Near copies whose shared shingles weigh 1.1 and whose own ones weigh 2.0."""
+    rng = np.random.default_rng(5)
+    shared, own = 184_000, 16_000
+    w = np.concatenate([np.full(shared, 1.1), np.full(own, 2.0)]).astype(np.float32)
+    similar = shared * 1.1 / (shared * 1.1 + 2 * own * 2.0)
+    agree = []
+    for _ in range(8):
+        both = rng.integers(1, 1 << 64, shared, dtype=np.uint64)
+        texts = [np.concatenate([both, rng.integers(1, 1 << 64, own, dtype=np.uint64)]) for _ in range(2)]
+        x, y = m.icws(np.concatenate(texts), np.log(np.concatenate([w, w])), np.array([0, len(w)]), 30)
+        agree.append((x == y).mean())
+    assert abs(np.mean(agree) - similar) < 0.1 and min(agree) > similar - 0.3
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rnd = random.Random(seed)
