@@ -303,9 +303,8 @@ class Encoder:
         cut[len(data)] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data)) if len(start) else start
-        first = np.searchsorted(start, offsets)
-        ids, sizes = self.cache.ids(data, offsets, start, end, first)
-        return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
+        ids, sizes = self.cache.ids(data, start, end)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
 
 
 def _merge_long(text: str, score: dict[str, float]) -> list[str]:

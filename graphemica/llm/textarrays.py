@@ -11,6 +11,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 #: glibc keeps freed blocks; other C libraries have no such call and need none.
@@ -22,21 +23,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _random_table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 64, 256, dtype=np.uint64)
-
-
-_BYTES = _random_table(20)
-#: The same with A-Z sent to a-z.
-_BYTES_NOCASE = _BYTES.copy()
-_BYTES_NOCASE[65:91] = _BYTES[97:123]
-
-_powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
-#: Bytes hashed at a time (a longer document is one step of its own).
-_STEP = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The low 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Words whose hashes are taken at a time (their arrays stay in the cache), and bytes of a word taken in numpy.
+_STEP, _LONG = 1 << 16, 64
 
 
 def release() -> None:
@@ -56,19 +48,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, _STEP + 1)
-        tables = []
-        for base in (_ODD, _INVERSE):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        _powers = (tables[0], tables[1])
-    return _powers
-
-
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, end to end, and the n + 1 offsets between them.  Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -117,49 +96,88 @@ class Words:
         return np.arange(len(self.start)) - np.repeat(self.first[:-1], self.counts)
 
     def hashes(self, nocase: bool = False) -> np.ndarray:
-        return span_hashes(self.bytes, self.offsets, self.start, self.end, self.first, nocase)
+        return span_hashes(self.bytes, self.start, self.end, nocase)
+
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
-def span_hashes(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, nocase: bool = False) -> np.ndarray:
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, nocase: bool = False) -> np.ndarray:
     """A 64-bit hash of each byte span; equal bytes have equal hashes wherever they stand.
 
-    The bytes' random values, times powers of an odd number, are summed once; a span's sum is a difference
-    of two prefix sums, divided by the power at its start.
+    Eight bytes at a time enter a state that is mixed in between, so no pattern of letters makes spans collide
+    beyond chance.  Spans of over 64 bytes are hashed one by one by xxh3.
     """
-    table = _BYTES_NOCASE if nocase else _BYTES
+    if nocase:
+        data = _LOWER[data]
+    view = eights(data)
     out = np.empty(len(start), dtype=np.uint64)
-    texts, t = len(offsets) - 1, 0
-    while t < texts:
-        u = max(t + 1, int(np.searchsorted(offsets, offsets[t] + _STEP, side="right")) - 1)
-        lo, hi = int(offsets[t]), int(offsets[u])
-        a, b = int(first[t]), int(first[u])
-        if a < b:
-            up, down = _power_tables(hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            s, e = start[a:b] - lo, end[a:b] - lo
-            out[a:b] = (sums[e] - sums[s]) * down[s]
-        t = u
-    return mix(out)
+    for i in range(0, len(start), _STEP):
+        s, size = start[i : i + _STEP], end[i : i + _STEP] - start[i : i + _STEP]
+        h = mix((view[s] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD)
+        for at in range(8, _LONG, 8):
+            on = np.flatnonzero(size > at)
+            if not len(on):
+                break
+            h[on] = mix(h[on] * _ODD + (view[s[on] + at] & _LOW[np.minimum(size[on] - at, 8)]))
+        out[i : i + _STEP] = h
+    far = np.flatnonzero(end - start > _LONG)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[far] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return out
+
+
+def equal_spans(view: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b on are equal, ``size`` of each; ``view`` is that of ``eights``."""
+    same = np.ones(len(a), dtype=bool)
+    at, on = 0, np.flatnonzero(size > 0)
+    while len(on):
+        if at >= _LONG:  # few spans are so long: each in one go
+            raw = view.base
+            for i in on.tolist():
+                same[i] = bool((raw[a[i] + at : a[i] + size[i]] == raw[b[i] + at : b[i] + size[i]]).all())
+            break
+        low = _LOW[np.minimum(size[on] - at, 8)]
+        same[on] = (view[a[on] + at] & low) == (view[b[on] + at] & low)
+        at += 8
+        on = on[same[on] & (size[on] > at)]
+    return same
+
+
+def _two(a: np.ndarray, b: np.ndarray, base: np.uint64) -> np.ndarray:
+    x = a * base
+    x += b
+    x ^= x >> _U(29)
+    x *= _U(0xBF58476D1CE4E5B9)
+    return x
 
 
 def window_hashes(words: np.ndarray, length: int, at: np.ndarray | None = None, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """Hashes of ``length`` consecutive word hashes, from every word that has so many after it or from ``at``."""
-    k = _U(base)
-    n = len(words) - length + 1
-    if at is None:
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        acc = words[:n].copy()
-        for j in range(1, length):
-            acc *= k
-            acc += words[j : n + j]
-    else:
-        acc = words[at]
-        for j in range(1, length):
-            acc *= k
-            acc += words[at + j]
-    return mix(acc)
+    """Hashes of ``length`` consecutive word hashes, from every word that has so many after it or from ``at``.
+
+    Blocks of 1, 2, 4 ... words are made of two smaller ones, mixed each time, and a window of its blocks.
+    """
+    n = max(len(words) - length + 1, 0)
+    out = np.empty(n, dtype=np.uint64)
+    for i in range(0, n, _STEP):
+        if at is not None and np.searchsorted(at, i) == np.searchsorted(at, i + _STEP):
+            continue  # ``at`` ascends and has no place here
+        m = min(n - i, _STEP)
+        block, done, window, size = words[i : i + m + length - 1], 0, None, 1
+        while size <= length:
+            if length & size:
+                part = block[done : done + m]
+                window = part if window is None else _two(window, part, _U(base))
+                done += size
+            block = _two(block[:-size], block[size:], _U(base)) if size * 2 <= length else block
+            size *= 2
+        out[i : i + m] = mix(window)
+    return out if at is None else out[at]
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -234,35 +252,40 @@ class SpanCache:
     """Encodes byte spans by their distinct contents and remembers them from batch to batch.
 
     ``encode`` maps a list of byte strings to a list of ids as u32 bytes.  The memory is bounded: beyond ``most``
-    entries it starts anew.  Spans are told apart by 64-bit hashes.
+    entries or ``most_bytes`` of spans it starts anew.  Hashes only find equal spans: bytes are compared.
     """
 
-    def __init__(self, encode, most: int = 600_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode, most: int = 600_000, most_bytes: int = 32 << 20):
+        self.encode, self.most, self.most_bytes, self.known, self.held = encode, most, most_bytes, {}, 0
 
-    def ids(self, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans, end to end; number of ids of each span)."""
-        hashes = span_hashes(data, offsets, start, end, first)
-        distinct, index, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.known) > self.most:
+        size = end - start
+        _, index, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        view = eights(data)
+        other = np.flatnonzero((size != size[index][which]) | ~equal_spans(view, start, start[index][which], np.minimum(size, size[index][which])))
+        if len(other):  # equal hashes of unequal spans: each of these spans stands for itself
+            which[other] = len(index) + np.arange(len(other))
+            index = np.concatenate([index, other])
+        raw = view.base.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
+        if len(self.known) > self.most or self.held > self.most_bytes:
             self.known.clear()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
+            self.held = 0
+        fresh = list(dict.fromkeys(k for k in keys if k not in self.known))
         if fresh:
-            raw = memoryview(data.tobytes())
-            at = index[fresh]
-            parts = [bytes(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            self.known.update(zip([keys[i] for i in fresh], self.encode(parts), strict=True))
+            self.known.update(zip(fresh, self.encode(fresh), strict=True))
+            self.held += sum(map(len, fresh))
         found = [self.known[k] for k in keys]
         flat = np.frombuffer(b"".join(found), dtype=np.uint32)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         heads = np.cumsum(sizes) - sizes
         return gathered(flat, heads[which], sizes[which]), sizes[which]
 
-
     def close(self) -> None:
         """Forget everything and give the memory back, at the end of a task."""
         self.known.clear()
+        self.held = 0
         gc.collect()
         release()
 
