@@ -7,12 +7,12 @@ Hashing every window would move one hash per word.  {0, 1, 3, 9} is a difference
 starts i and j some shift d < 13 puts i + d and j + d both at cover positions (place in the document, modulo
 13).  So two equal 20-word windows share an aligned 8-word anchor (12 + 8 = 20), and only 4 of 13 places send
 a hash.  Anchors that occur once in the corpus are out; those that occur again extend to the windows that
-hold them, and 96-bit hashes of these windows decide.
+hold them, and 96 bits of hashes of these windows decide (words have hashes of 64 bits).
 
-Plan: text buckets are ranges of doc_id in order, so "starts earlier" means "in a smaller bucket", and no
-document id travels with a hash.  Two rounds of packed hash sets (see ``buckets``): anchors, then windows.
-A hash leaves a bucket once however often it occurs there, so a passage in a third of all documents costs as
-many entries as there are buckets.
+Plan: text buckets are ranges of doc_id in order, of about equal bytes, so "starts earlier" means "in a smaller
+bucket", and no document id travels with a hash.  An id whose rows fill several buckets is cut by a hash of the
+text.  Two rounds of packed hash sets (see ``buckets``): anchors, then windows.  A hash leaves a bucket once
+however often it occurs there, so a passage in a third of all documents costs as many entries as there are buckets.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from graphemica.llm.textarrays import Words, covered, gaps, joined, pack, releas
 WINDOW = 20
 #: A perfect difference cover: every difference modulo 13 is one of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
+_LAST = (1 << 63) - 1
 _SENT = "hb long, dest long, blob binary"
 _SENT_ARROW = pa.schema([("hb", pa.int64()), ("dest", pa.int64()), ("blob", pa.binary())])
 
@@ -40,7 +41,7 @@ class _Bucket:
     """The documents of one bucket in order, with their anchors; the same in each round."""
 
     def __init__(self, table: pa.Table, window: int, buckets: int):
-        order = [("__id", "ascending"), ("__text", "ascending")]
+        order = [("__id", "ascending"), ("__tie", "ascending"), ("__text", "ascending")]
         self.table = table.sort_by(order)
         self.window, self.buckets = window, buckets
         self.words = Words(self.table.column("__text"))
@@ -156,6 +157,40 @@ def _cut(window: int, buckets: int, schema: pa.Schema, carry: list[str]) -> Call
     return cut
 
 
+def _ranges(keyed: DataFrame, rows: int, size: int, buckets: int) -> Callable:
+    """A function of (id, tie) to buckets: ranges of ids that hold about equal bytes.
+
+    Quantiles are taken over ids that stand once for each average row's bytes that they have, so long documents
+    count as what they are.  An id that several quantiles name fills the buckets between them: its rows are dealt
+    to these by ranges of ``__tie``.  One number per bucket comes to the driver.  (Quantiles are doubles, so ids
+    beyond 2^53 are not cut, but those without an id are.)
+    """
+    if not rows or buckets < 2:
+        edges = np.zeros(0)
+    else:
+        times = 1 + F.floor(F.octet_length("__text") / F.lit(max(1.0, size / rows)))
+        weighed = keyed.select(F.explode(F.array_repeat(F.coalesce("__id", F.lit(_LAST)), F.coalesce(times, F.lit(1)).cast("int"))).alias("i"))
+        edges = np.array(weighed.approxQuantile("i", [i / buckets for i in range(1, buckets)], 0.2 / buckets))
+    values, times = np.unique(edges, return_counts=True)
+    exact = (np.abs(values) < 2.0**53) | (values >= float(_LAST))
+    parts = np.where(exact, times, 1)
+    heads = np.concatenate([[0], np.cumsum(parts)])  # the bucket of the rows up to each value; the last one's are beyond all
+
+    @F.pandas_udf(T.LongType())
+    def bucket_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        i = ids.to_numpy()
+        at = np.searchsorted(values, i.astype(np.float64), side="left")
+        out = heads[at]
+        for k in np.unique(at[at < len(values)]).tolist():
+            if parts[k] > 1:
+                mine = (at == k) & (i.astype(np.float64) == values[k]) & ((np.abs(i) < 1 << 53) | (i == _LAST))
+                tie = (ties.to_numpy()[mine].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of the signed number
+                out[mine] += ((tie * np.uint64(parts[k])) >> np.uint64(32)).astype(np.int64)
+        return pd.Series(out)
+
+    return bucket_of
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word under a window of ``window`` words that starts earlier in the corpus.
 
@@ -163,10 +198,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     space), then the columns named in ``carry``.
 
     Words are runs of anything but space and U+0009 to U+000D, unchanged.  Defined cases: a null text has no
-    words (0, 0, empty); texts under ``window`` words keep all; rows with a null id come after all others;
-    rows that share an id stand in the order of their texts, and a repeated row loses what its twin keeps;
-    an empty table gives no rows.  Other columns of ``docs`` are ignored, whatever their names; a carried
-    column named like a result column is an error.
+    words (0, 0, empty); texts under ``window`` words keep all; very long texts are cut like any other; rows
+    with a null id come after all others; rows that share an id stand in the order of a hash of their texts, and
+    a repeated row loses what its twin keeps; an empty table gives no rows.  Other columns of ``docs`` are
+    ignored, whatever their names; a carried column named like a result column is an error.
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be over {PERIOD} words")
@@ -175,17 +210,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows, size = corpus_size(docs, text_col)
     buckets = bucket_count(spark, size)
-    identity = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
-    # Ranges of doc_id with equal numbers of rows; one number per bucket comes to the driver.
-    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id")).where("__id is not null")
-    edges = np.array(sorted(set(some.approxQuantile("__id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if rows and buckets > 1 else [], dtype=np.float64)
-
-    @F.pandas_udf(T.LongType())
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy().astype(np.float64), side="left").astype(np.int64))
-
-    carried = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)]
-    cut = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *carried, bucket_of(identity).alias("__dest"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)))
+    keyed = keyed.withColumn("__tie", F.xxhash64("__text"))
+    bucket_of = _ranges(keyed, rows, size, buckets)
+    cut = keyed.withColumn("__dest", bucket_of(F.coalesce("__id", F.lit(_LAST)), F.col("__tie")))
     texts = cut.groupBy("__dest")
     # round 1: which anchors occur again
     asked = texts.applyInArrow(_send_anchors(window, buckets), _SENT)

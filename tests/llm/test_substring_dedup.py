@@ -83,7 +83,60 @@ def test_text_arrays():
     big = pa.array(["z q " * 400_000, "hello"])
     w = Words(big)
     assert w.hashes()[-1] == Words(pa.array(["hello"])).hashes()[0]
-    assert len(span_hashes(w.bytes, w.offsets, w.start[:0], w.end[:0], np.zeros(3, int))) == 0
+    assert len(span_hashes(w.bytes, w.start[:0], w.end[:0])) == 0
+    # every length has its own hash, and windows of any length are told apart
+    parts = ["a" * k for k in range(1, 200)]
+    assert len(set(Words(pa.array([" ".join(parts)])).hashes().tolist())) == 199
+    for n in (1, 2, 3, 5, 8, 20):
+        assert len(set(window_hashes(h, n).tolist())) == len({tuple(h[i : i + n]) for i in range(len(h) - n + 1)})
+
+
+def thue_morse():
+    """Two words of 1,024 characters that polynomials modulo 2^64 don't tell apart."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse()
+    assert len(set(Words(pa.array([f"{a} {b} {a[:512]} {b[:512]}"])).hashes().tolist())) == 4
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{rest} {a}"), (2, f"{rest} {b}"), (3, f"{rest} {a}")]
+    assert run(spark, docs) == brute(docs) and brute(docs)[1][2] == 0
+
+
+def test_hot_ids_are_cut(spark):
+    """An id (and no id) with many rows fills several buckets; the order within it is that of the texts' hashes."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(30)}"
+    shared = [[word() for _ in range(30)] for _ in range(5)]
+    docs = [(rnd.choice([7, 7, 7, None, None, 3, 12, 40 + i]), " ".join(rnd.choice(shared)[rnd.randrange(8) :] + [word() for _ in range(rnd.randrange(12))])) for i in range(400)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    keys = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    seen, want = set(), []
+    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, keys[d[1]], d[1])):
+        words, gone = text.split(), set()
+        for at in range(len(words) - 19):
+            key = tuple(words[at : at + 20])
+            if key in seen:
+                gone.update(range(at, at + 20))
+            seen.add(key)
+        want.append((i, len(words), len(gone), " ".join(w for at, w in enumerate(words) if at not in gone)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = run(spark, docs)
+        from graphemica.llm import substring_dedup as s
+
+        keyed = df.selectExpr("doc_id __id", "text __text", "xxhash64(text) __tie")
+        dest = s._ranges(keyed, len(docs), sum(len(t) for _, t in docs), 16)
+        sizes = keyed.groupBy(dest(s.F.coalesce("__id", s.F.lit(s._LAST)), s.F.col("__tie")).alias("d")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(want, key=repr)
+    assert len(sizes) >= 12 and max(r["count"] for r in sizes) < 80
 
 
 def test_buckets(spark):
