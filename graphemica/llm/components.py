@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is a partial aggregate and a join; the links stay distributed and are written to the shared folder
-after each round.  A hot centre has one row per neighbour; its minimum is pre-aggregated, and the join that
-hands it out is an ordinary sort-merge join, which adaptive execution splits.
+after each round.  A hot centre has one row per neighbour.  Its minimum is pre-aggregated, and it is handed out by
+a sort-merge join that adaptive execution splits: both of its sides are plain shuffles, for the minima are
+grouped by another expression than the one they are joined by.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     """links: (u, v) with u > v.  Large star looks at both directions, small star at smaller neighbours only."""
     if not small:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = links.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select("k.u", F.least("m", "k.u").alias("m"))
     seen = links.join(least, "u")
     if small:  # every smaller neighbour and u itself point to the least
         out = seen.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -27,7 +28,7 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (columns u, v: long); component is its least node.
+    """(node, component) for every node of ``links`` (columns u, v of one type with an order); component is its least node.
 
     Nodes without links don't appear; self links and repeated links change nothing; null ends are ignored.
     """

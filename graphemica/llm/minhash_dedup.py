@@ -1,19 +1,19 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A document is the multiset of its five-word shingles; a shingle weighs tf * idf with
-idf = 1 + ln(N / df) / ln(N) over all N documents, between 1 and 2 at every corpus size.  Samples of improved
-consistent weighted sampling (Ioffe 2010, without the t part as in Li 2015) agree in two documents with a
-probability close to their weighted Jaccard similarity; bands of three samples make candidates, and each
-candidate pair is verified by its weighted Jaccard similarity.  The rare words of an edit weigh more than
-the common ones around it, so the plain Jaccard similarity of the same shingles links a pair as well.
+idf = 1 + IDF ln(N / df) / ln(N) over all N documents, between 1 and 1 + IDF at every corpus size.  An edit makes
+rare shingles out of common ones, so a steep idf would turn the threshold into a much higher one for any edited
+copy of a frequent text.  Samples of improved consistent weighted sampling (Ioffe 2010, without the t part as in
+Li 2015) agree in two documents with a probability close to their weighted Jaccard similarity; bands of three
+samples make candidates, and each candidate pair is verified by its weighted Jaccard similarity.
 
 Plan: document frequencies come from one round of packed hash sets (see ``buckets``): shingles of one document
 only answer with a zero bit.  What two documents share lies among shingles of two documents or more, so a
 document's vector holds only those, and its total weight.  If they are less than the threshold's share of the
 document, it has no partner and gets neither bands nor a vector.  Documents with equal vectors are one node
-before any pairing.
+before any pairing, named by a 128-bit digest.
 
-Links are found in two passes.  First a band bucket links each member to two leaders (least id, least hash),
+Links are found in two passes.  First a band bucket links each member to two leaders (least name, least hash),
 and verified links go through distributed connected components: most buckets are of one component then.  A
 bucket that still holds several is compared across them, for similarity isn't transitive and two members may be
 alike though no leader is like both.  That is done in a grid of cells of bounded size (``_cells``): the
@@ -36,29 +36,29 @@ from graphemica.llm.buckets import bucket_count, corpus_size, cut_by_bucket, mat
 from graphemica.llm.components import connected_components
 from graphemica.llm.textarrays import Words, gaps, mix, pack, release, unpack, window_hashes
 
-SHINGLE, THRESHOLD = 5, 0.8
+SHINGLE, THRESHOLD, IDF = 5, 0.8, 0.25
 #: 1 - (1 - 0.8^3)^10 = 0.9992: the chance that a pair at the threshold shares a band.
 BANDS, ROWS = 10, 3
 #: Members of a block of a band bucket: a cell of the grid compares two blocks.
-BLOCK = 256
+BLOCK = 128
 #: Parts of a group of equal documents when their class is handed out.
 SALTS = 16
 _SENT = "hb long, dest long, blob binary"
 _SENT_ARROW = pa.schema([("hb", pa.int64()), ("dest", pa.int64()), ("blob", pa.binary())])
-_ROW = "doc_id long, digest binary, bands array<long>, total double, shingles long, vector binary"
-_ROW_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("shingles", pa.int64()), ("vector", pa.binary())])
+_ROW = "doc_id long, th long, digest binary, bands array<long>, total double, vector binary"
+_ROW_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("total", pa.float64()), ("vector", pa.binary())])
+_LINKS = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
 #: Odd factors, one for each sample; shingles whose samples are drawn at a time, to stay in the cache.
 _SALTS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _DRAWN = 1 << 14
 
 
-
 class _Bucket:
     """Shingles of one text bucket: (document, shingle, times) in document order, and the distinct shingles."""
 
     def __init__(self, table: pa.Table, size: int):
-        self.ids = table.column("__id")
+        self.ids, self.text_hashes = table.column("__id"), table.column("__th")
         words = Words(table.column("__text"))
         hashes, place = words.hashes(nocase=True), words.place()
         rolled = window_hashes(hashes, size)
@@ -148,7 +148,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _sign(size: int, buckets: int, corpus: int, threshold: float) -> Callable:
-    scale = 1 / math.log(corpus) if corpus > 1 else 0.0
+    scale = IDF / math.log(corpus) if corpus > 1 else 0.0
 
     def sign(answers: pa.Table, table: pa.Table) -> pa.Table:
         if not len(table):
@@ -165,12 +165,11 @@ def _sign(size: int, buckets: int, corpus: int, threshold: float) -> Callable:
         weights = (b.tf * idf).astype(np.float32)
         heads = np.flatnonzero(np.diff(b.docs, prepend=-1))
         n = len(b.ids)
-        bands, digests, totals, sizes, vectors = [None] * n, [None] * n, [0.0] * n, [0] * n, [None] * n
+        bands, digests, totals, vectors = [None] * n, [None] * n, [0.0] * n, [None] * n
         if len(heads):
             ends = np.append(heads[1:], len(b.docs))
             sums, shared = (np.add.reduceat(w, heads) for w in (weights.astype(np.float64), np.where(df > 1, weights, 0).astype(np.float64)))
-            common = np.add.reduceat((df > 1).astype(np.int64), heads)
-            able = np.maximum(shared / sums, common / (ends - heads)) >= threshold - 1e-6
+            able = shared / sums >= threshold - 1e-6
             if able.any():
                 of = np.repeat(able, ends - heads)
                 starts = np.concatenate([[0], np.cumsum((ends - heads)[able])[:-1]])
@@ -178,11 +177,11 @@ def _sign(size: int, buckets: int, corpus: int, threshold: float) -> Callable:
             for row, (i, j) in enumerate(zip(heads, ends, strict=True)):
                 d = int(b.docs[i])
                 digests[d] = hashlib.blake2b(b.shingles[i:j].tobytes() + b.tf[i:j].tobytes(), digest_size=16).digest()
-                totals[d], sizes[d] = float(sums[row]), int(j - i)
+                totals[d] = float(sums[row])
                 if able[row]:
                     many = df[i:j] > 1
                     bands[d], vectors[d] = next(keys), pack(gaps(b.shingles[i:j][many]), weights[i:j][many])
-        out = pa.table([b.ids.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals, pa.float64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())], schema=_ROW_ARROW)
+        out = pa.table([b.ids.cast(pa.int64()), b.text_hashes.cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(totals, pa.float64()), pa.array(vectors, pa.binary())], schema=_ROW_ARROW)
         del b, vectors
         release()
         return out
@@ -191,69 +190,69 @@ def _sign(size: int, buckets: int, corpus: int, threshold: float) -> Callable:
 
 
 def alike(x: tuple, y: tuple) -> float:
-    """The greater of weighted and plain Jaccard similarity; (total, shingles, hashes, weights) of each text."""
-    (ta, na, hx, wx), (tb, nb, hy, wy) = x, y
+    """Weighted Jaccard similarity; (total, hashes, weights) of each text."""
+    (ta, hx, wx), (tb, hy, wy) = x, y
     _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
     shared = float(np.minimum(wx[i], wy[j]).astype(np.float64).sum())
-    return max(shared / (ta + tb - shared), len(i) / (na + nb - len(i)))
+    return shared / (ta + tb - shared)
 
 
-def _read(total: float, shingles: int, vector: bytes) -> tuple:
+def _read(total: float, vector: bytes) -> tuple:
     jumps, weights = unpack(vector)
-    return total, shingles, np.cumsum(jumps), weights
+    return total, np.cumsum(jumps), weights
+
+
+def _link_rows(rows: list[tuple[bytes, bytes]]) -> list[pa.Array]:
+    return [pa.array(c, pa.binary()) for c in (zip(*rows, strict=True) if rows else ([], []))]
 
 
 def _similar(threshold: float) -> Callable:
     def similar(batches):
         for batch in batches:
             rows = []
-            for u, v, ta, tb, na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "ta", "tb", "na", "nb", "va", "vb")), strict=True):
-                if alike(_read(ta, na, x), _read(tb, nb, y)) >= threshold:
+            for u, v, ta, tb, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "ta", "tb", "va", "vb")), strict=True):
+                if alike(_read(ta, x), _read(tb, y)) >= threshold:
                     rows.append((u, v))
-            cols = list(zip(*rows, strict=True)) or [(), ()]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+            yield pa.record_batch(_link_rows(rows), schema=_LINKS)
 
     return similar
 
 
 def _bounds(left: list[tuple], right: list[tuple]) -> np.ndarray:
     """Upper bounds of ``alike`` for every left text with every right one: min(x, y) <= sqrt(x y)."""
-    both = np.intersect1d(np.concatenate([v[2] for v in left]), np.concatenate([v[2] for v in right]))
-    plain, weighted = np.zeros((2, len(left), len(right)))
+    both = np.intersect1d(np.concatenate([v[1] for v in left]), np.concatenate([v[1] for v in right]))
+    shared = np.zeros((len(left), len(right)))
     step = 1 << 13
 
-    def dense(side: list[tuple], cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen, root = np.zeros((2, len(side), len(cols)), dtype=np.float32)
-        for k, (_, _, hashes, weights) in enumerate(side):
+    def dense(side: list[tuple], cols: np.ndarray) -> np.ndarray:
+        root = np.zeros((len(side), len(cols)), dtype=np.float32)
+        for k, (_, hashes, weights) in enumerate(side):
             # hashes and columns ascend, so a text's part of these columns is a slice
             a, b = np.searchsorted(hashes, cols[0]), np.searchsorted(hashes, cols[-1], side="right")
             at = np.minimum(np.searchsorted(cols, hashes[a:b]), len(cols) - 1)
             hit = cols[at] == hashes[a:b]
-            seen[k, at[hit]], root[k, at[hit]] = 1, np.sqrt(weights[a:b][hit])
-        return seen, root
+            root[k, at[hit]] = np.sqrt(weights[a:b][hit])
+        return root
 
     for c in range(0, len(both), step):
-        (sx, rx), (sy, ry) = dense(left, both[c : c + step]), dense(right, both[c : c + step])
-        plain += sx @ sy.T
-        weighted += rx @ ry.T
-    tx, nx = (np.array([v[k] for v in left], dtype=np.float64)[:, None] for k in (0, 1))
-    ty, ny = (np.array([v[k] for v in right], dtype=np.float64)[None, :] for k in (0, 1))
-    weighted = np.minimum(weighted, np.minimum(tx, ty))
-    return np.maximum(plain / (nx + ny - plain), weighted / (tx + ty - weighted))
+        shared += dense(left, both[c : c + step]) @ dense(right, both[c : c + step]).T
+    tx, ty = np.array([v[0] for v in left])[:, None], np.array([v[0] for v in right])[None, :]
+    shared = np.minimum(shared, np.minimum(tx, ty))
+    return shared / (tx + ty - shared)
 
 
 def _across(threshold: float) -> Callable:
     """Links between components of one cell: block ``p`` against block ``q`` of a bucket."""
 
     def across(table: pa.Table) -> pa.Table:
-        get = {c: table.column(c).to_pylist() for c in ("p", "block", "component", "total", "shingles", "vector")}
-        texts = [_read(*x) for x in zip(get["total"], get["shingles"], get["vector"], strict=True)]
+        get = {c: table.column(c).to_pylist() for c in ("p", "block", "component", "total", "vector")}
+        texts = [_read(*x) for x in zip(get["total"], get["vector"], strict=True)]
         block, parts = np.array(get["block"]), get["component"]
         left = np.flatnonzero(block == get["p"][0])
         right = np.flatnonzero(block != get["p"][0]) if (block != block[0]).any() else left
         root = {c: c for c in parts}
 
-        def find(c: int) -> int:
+        def find(c: bytes) -> bytes:
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
@@ -270,8 +269,7 @@ def _across(threshold: float) -> Callable:
                     links.append((u, v))
         del texts
         release()
-        cols = list(zip(*links, strict=True)) or [(), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+        return pa.table(_link_rows(links), schema=_LINKS)
 
     return across
 
@@ -280,89 +278,108 @@ def _vectors(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     spark = docs.sparkSession
     rows, volume = corpus_size(docs, text_col)
     buckets = bucket_count(spark, volume)
-    ident = F.col(f"`{id_col}`").cast("long")
-    cut = docs.select(ident.alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.pmod(F.xxhash64(ident, F.octet_length(f"`{text_col}`")), F.lit(buckets)).alias("__dest"))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__th"))
+    # documents go to buckets by id and text: neither copies nor rows of one id meet in one bucket for that alone
+    cut = keyed.withColumn("__dest", F.pmod(F.xxhash64("__id", "__th"), F.lit(buckets)))
     texts = cut.groupBy("__dest")
     df = texts.applyInArrow(_send(size, buckets), _SENT).groupBy("hb").applyInArrow(_count, _SENT)
     return materialize(df.groupBy("dest").cogroup(texts).applyInArrow(_sign(size, buckets, rows, threshold), _ROW), "minhash")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    return nodes.select("rep", F.posexplode("bands").alias("band", "key"))
+    return nodes.select("digest", F.posexplode("bands").alias("band", "key"))
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Distinct (u, v): each member of a band bucket with its two leaders."""
-    members, hashed = _members(nodes), F.struct(F.xxhash64("rep").alias("h"), "rep")
-    heads = members.groupBy("band", "key").agg(F.min("rep").alias("l1"), F.min(hashed)["rep"].alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = members.join(heads, ["band", "key"]).select(F.explode(F.array("l1", "l2")).alias("l"), "rep").where("l <> rep")
-    return stars.select(F.least("l", "rep").alias("u"), F.greatest("l", "rep").alias("v")).distinct()
+    members, hashed = _members(nodes), F.struct(F.xxhash64("digest").alias("h"), "digest")
+    heads = members.groupBy("band", "key").agg(F.min("digest").alias("l1"), F.min(hashed)["digest"].alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = members.join(heads, ["band", "key"]).select(F.explode(F.array("l1", "l2")).alias("l"), "digest").where("l <> digest")
+    return stars.select(F.least("l", "digest").alias("u"), F.greatest("l", "digest").alias("v")).distinct()
 
 
 def _cells(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, p, q, block, rep, component): the members of buckets of several components, by cell.
+    """(bucket, p, q, block, digest, component): the members of buckets of several components, by cell.
 
     A bucket's largest component is its main part and the others are the rest.  Blocks of the rest have the
     numbers from 0, blocks of the main part those after them; cells are (p, q) with p <= q and p in the rest.  So
     a main member is in as many cells as the rest has blocks, and an outlier of a hot bucket costs one pass over it.
     Buckets of the same members (in several bands) are compared once.
     """
-    members = _members(nodes).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    members = _members(nodes).join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    parts = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("mark"))
     mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.sum("mark").alias("mark")).where("parts > 1 and n > 2")
     one = mixed.groupBy("n", "mark").agg(F.min(F.struct("band", "key", "top")).alias("b"))
     grid = one.select("b.band", "b.key", F.col("b.top.component").alias("main"), F.ceil((F.col("n") - F.col("b.top.n")) / BLOCK).alias("rests"), F.ceil(F.col("b.top.n") / BLOCK).alias("mains"))
-    mine, at = F.col("component") == F.col("main"), F.xxhash64("rep")
+    mine, at = F.col("component") == F.col("main"), F.xxhash64("digest")
     block = F.when(mine, F.col("rests") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("rests")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(mine, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1))
     placed = members.join(grid, ["band", "key"]).withColumn("block", block).withColumn("other", other)
-    return placed.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component")
+    return placed.select("band", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "digest", "component")
 
 
 def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Group documents whose Jaccard similarity over shingles, TF-IDF weighted or plain, reaches ``threshold``.
+    """Group documents whose weighted Jaccard similarity over TF-IDF shingles reaches ``threshold``.
 
-    Returns a row for each row of ``docs``: doc_id and class_id (the least doc_id of the group, its own if
-    alone).
+    Returns a row for each row of ``docs``: doc_id, class_id (the least doc_id of the group, its own if alone), th
+    (xxhash64 of the text) and head (whether the row stands for its group: it has the group's least doc_id and,
+    under that id, the least th).
 
     Words are runs of anything but ASCII white space, A-Z as a-z.  Defined cases: documents under
-    ``shingle`` words are one shingle; null, empty and white texts have none and stand alone; rows of one
-    doc_id with different texts join one group; repeated rows join their twin's group; rows with a null id
-    keep a null class_id; an empty table gives no rows.  Other columns are ignored.
+    ``shingle`` words are one shingle; null, empty and white texts have none and stand alone; very long texts are
+    taken whole; rows of one doc_id are grouped by their texts alone, so unlike texts under one id are
+    different groups, though both may be named by it; repeated rows join their twin's group, and each of them is
+    a head if one is; rows with a null id keep a null class_id, are heads, and no other row joins them; ties
+    between samples go to the smaller hash; an empty table gives no rows.  Other columns are ignored, whatever
+    their names.
     """
     signed = _vectors(docs, id_col, text_col, shingle, threshold)
     known = signed.where("doc_id is not null and digest is not null")
-    counted = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    # equal texts are one node, named by its least doc_id; texts that share that name are one group anyway
-    nodes = materialize(known.where("bands is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+    head = F.min(F.struct("doc_id", "th"))
+    counted = known.groupBy("digest").agg(head.alias("head"), F.count(F.lit(1)).alias("n"))
+    # equal texts are one node; the row with the least id has its vector
+    nodes = materialize(known.where("bands is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     pairs = materialize(_candidates(nodes), "pairs")
-    # one row per digest has the vector; it is met by document and digest, which deals copies out evenly
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(nodes.select("digest", "rep"), "rep").select("digest", F.col("rep").alias("doc_id"))
-    vectors = known.join(needed, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min(F.struct("total", "shingles", "vector")).alias("w"))
-    vectors = materialize(vectors.select(F.col("doc_id").alias("rep"), "w.total", "w.shingles", "w.vector"), "vectors")
-    left = vectors.select(F.col("rep").alias("u"), F.col("total").alias("ta"), F.col("shingles").alias("na"), F.col("vector").alias("va"))
-    right = vectors.select(F.col("rep").alias("v"), F.col("total").alias("tb"), F.col("shingles").alias("nb"), F.col("vector").alias("vb"))
-    links = pairs.join(left, "u").join(right, "v").select("u", "v", "ta", "tb", "na", "nb", "va", "vb").mapInArrow(_similar(threshold), "u long, v long")
-    # rows of one doc_id with different texts are linked through it
-    versions = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    tied = known.join(versions, "doc_id", "left_semi").select("doc_id", "digest").join(counted.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = materialize(connected_components(links.unionByName(tied)), "found")
-    cells = _cells(nodes, found).join(vectors, "rep").groupBy("band", "key", "p", "q")
-    across = materialize(cells.applyInArrow(_across(threshold), "u long, v long"), "across")
+    # vectors are met by document and digest, which deals copies out evenly
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct().join(nodes.select("digest", "doc_id"), "digest")
+    vectors = known.join(needed, ["doc_id", "digest"], "left_semi").groupBy("digest").agg(F.min(F.struct("total", "vector")).alias("w"))
+    vectors = materialize(vectors.select("digest", "w.total", "w.vector"), "vectors")
+    left = vectors.select(F.col("digest").alias("u"), F.col("total").alias("ta"), F.col("vector").alias("va"))
+    right = vectors.select(F.col("digest").alias("v"), F.col("total").alias("tb"), F.col("vector").alias("vb"))
+    links = pairs.join(left, "u").join(right, "v").select("u", "v", "ta", "tb", "va", "vb").mapInArrow(_similar(threshold), "u binary, v binary")
+    found = materialize(connected_components(links), "found")
+    cells = _cells(nodes, found).join(vectors, "digest").groupBy("band", "key", "p", "q")
+    across = materialize(cells.applyInArrow(_across(threshold), "u binary, v binary"), "across")
     if not across.isEmpty():
-        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across))
-    # documents with a class other than their own meet it by digest and a salt; the others need no join
-    grouped = counted.join(found, counted.rep == found.node, "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("class_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = signed.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return own.join(grouped, ["digest", "salt"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-
-
-def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that represent their group: one row for each class; null ids stay."""
-    heads = classes.where("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+        found = materialize(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across)), "found")
+    # documents of a group of several meet its head by digest and a salt; the others need no join
+    heads = found.join(counted, found.node == counted.digest).groupBy("component").agg(F.min("head").alias("top"))
+    grouped = counted.join(found.join(heads, "component").select(F.col("node").alias("digest"), "top"), "digest", "left").where("n > 1 or top is not null")
+    grouped = grouped.select("digest", F.coalesce("top", "head").alias("top"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = signed.select("doc_id", "digest", "th", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = own.join(grouped, ["digest", "salt"], "left")
+    alone = F.col("doc_id").isNull() | F.col("top").isNull()
+    first = (F.col("doc_id") == F.col("top.doc_id")) & (F.col("th") == F.col("top.th"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("top.doc_id", "doc_id")).alias("class_id"), "th", F.when(alone, F.lit(True)).otherwise(first).alias("head"))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of ``classes``: its head, and of repeated heads the least by all columns.
+
+    Rows with a null id stay, and so does one row of each null, empty or white text under an id.  Column names with
+    dots and any extra columns are kept; columns of types without an order (maps) don't take part in the choice.
+    """
+    key, th = "__id_of_row", "__th_of_row"
+    heads = classes.where("head and doc_id is not null").select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))).alias("row"), F.col(f"`{id_col}`").cast("long").alias(key), F.xxhash64(f"`{text_col}`").alias(th))
+    ordered = [F.col(f"row.c{i}") for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
+    least = F.min("row") if len(ordered) == len(columns) else F.min_by("row", F.struct(*ordered))
+    kept = marked.join(heads, [key, th], "left_semi").groupBy(key, th).agg(least.alias("row"))
+    nameless = marked.where(F.col(key).isNull())
+    return kept.select("row").unionByName(nameless.select("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return minhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return minhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id")
