@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi search.
 
 Words of equal length advance together, one character at a time.  Hashes of all substrings probe the sorted
-keys of the pieces; for every end, the best piece that ends there is the one with the largest sum (an argmax
-over the lengths), and its length is stored as the backpointer.
+keys of the pieces; from every place, each piece that starts there offers its sum to the place where it ends, and
+the largest sum and its piece (the backpointer) stay there.  Words are cut beforehand where no piece holds the two
+characters side by side, so text without spaces falls into short parts, and each distinct part is searched once.
 
-Two kinds of model:
+Two kinds of model differ in what a step adds:
 
-* unigram: a path's sum is the sum of its pieces' scores;
+* unigram: the piece's score;
 * BPE: scores are merge ranks, and their sum says nothing (see the README for how far a sum of ranks is from
-  the library).  A path's sum is 0 if all neighbouring pieces are compatible, else minus infinity: two pieces
+  the library).  A step adds 0 if the piece is compatible with the one before it, else minus infinity: two pieces
   are compatible if merging their characters by rank gives back these two.  Merging happens within any two
-  neighbours just as within the whole word, so exactly one path is compatible throughout, and it is what the
-  merges give.  Compatibility is decided by undoing merges from the last to the first, for arrays of pairs.
+  neighbours just as within the whole word, so exactly one path has the sum 0, and it is what the merges give.
+  Compatibility is decided by undoing merges from the last to the first, for arrays of pairs, and remembered.
+
+Bars (spaces) that follow each other merge with each other after everything else: see ``Encoder.bars``.
 
 Plan: a narrow map; the model's tables (a few MB, fixed by the vocabulary) are broadcast.  Each worker
 encodes a distinct word once (bounded memory).
@@ -34,8 +37,8 @@ BAR = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << 40
-#: Characters in a batch of equal words.
-_CELLS = 1 << 20
+#: Places (words times characters) that are prepared at a time, and slots for the remembered compatibility of pairs.
+_CELLS, _SLOTS = 1 << 15, 1 << 20
 #: Words that a worker remembers, and bytes of text that it takes at a time: both bound its memory.
 REMEMBERED, TAKEN = 300_000, 3 << 20
 
@@ -74,7 +77,8 @@ class Tables:
     right: np.ndarray
     pairs: np.ndarray  # BPE: sorted left * V + right of every two pieces that make a piece
     merged: np.ndarray  # ... and that piece's order
-    ties: bool  # BPE: pieces with equal scores exist (they consist of bars)
+    ties: bool  # BPE: pieces with equal scores exist: of several bars, and these scores are the least
+    inside: np.ndarray  # sorted: first << 32 | second of every two characters side by side in a piece
     names: list[str]
     byte_ids: np.ndarray  # id of each byte, -1 without byte fallback
     surface: list[bytes]  # by id, for decoding
@@ -130,11 +134,14 @@ def load(model_path: str, unigram: bool | None = None) -> Tables:
         values, times = np.unique(scores[by_score], return_counts=True)
         tied = set(values[times > 1].tolist())
         ties = bool(tied)
-        if any(scores[i] in tied and names[i].strip(BAR) for i in by_score):
-            raise ValueError("pieces with equal scores must consist of spaces")
+        if any(scores[i] in tied and names[i].strip(BAR) for i in by_score) or (ties and (len(tied) > 1 or scores[by_score].min() < min(tied))):
+            raise ValueError("pieces with equal scores must consist of spaces and have the least score")
+        if ties and any(names[i].startswith(BAR * 2) and names[i].strip(BAR) for i in by_score):
+            raise ValueError("pieces of several spaces and other characters aren't supported")
     keys = np.array([_key(names[i]) for i in usable], dtype=np.uint64)
     at = np.argsort(keys)
-    return Tables(bool(bpe), sp.unk_id(), max(len(names[i]) for i in usable), keys[at], np.array(usable, dtype=np.int64)[at], scores, order, left, right, pairs, merged, ties, names, byte_ids, surface, probe[0].startswith(BAR))
+    inside = np.unique(np.array([ord(x) << 32 | ord(y) for i in usable for x, y in zip(names[i], names[i][1:], strict=False)], dtype=np.uint64))
+    return Tables(bool(bpe), sp.unk_id(), max(len(names[i]) for i in usable), keys[at], np.array(usable, dtype=np.int64)[at], scores, order, left, right, pairs, merged, ties, inside, names, byte_ids, surface, probe[0].startswith(BAR))
 
 
 def _last_merge(text: str, score: dict[str, float]) -> tuple[str, str] | None:
@@ -152,21 +159,34 @@ class Encoder:
     def __init__(self, tables: Tables):
         self.t = tables
         self.v = len(tables.names)
-        self.table = np.zeros(1 << 20, dtype=bool)
-        self.table[(mix(tables.keys) >> _U(44)).astype(np.intp)] = True
+        slot = self._slot(tables.keys)
+        self.key_at, self.id_at = np.zeros(_SLOTS, dtype=np.uint64), np.full(_SLOTS, -1, dtype=np.int32)
+        self.key_at[slot], self.id_at[slot] = tables.keys, tables.ids  # of keys that share a slot, the last stays
+        lost = self.key_at[slot] != tables.keys
+        self.crowded = np.zeros(_SLOTS, dtype=bool)
+        self.crowded[slot[lost]] = True
         self.score = {tables.names[i]: tables.scores[i] for i in tables.ids}
         self.of = {tables.names[i]: int(i) for i in tables.ids}
         usable = tables.scores[tables.ids]
-        self.unknown_score = (usable.min() if len(usable) else 0.0) - 10.0
+        self.gain = np.zeros(self.v, dtype=np.float32) if tables.bpe else tables.scores.astype(np.float32)
+        if not tables.bpe:
+            self.gain[tables.unknown] = (usable.min() if len(usable) else 0.0) - 10.0
+        self.seen, self.answer = np.full(_SLOTS, -1, dtype=np.int64), np.zeros(_SLOTS, dtype=bool)
         self.cache = SpanCache(self._each, REMEMBERED)
 
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * _U(0xBF58476D1CE4E5B9)) >> _U(64 - _SLOTS.bit_length() + 1)).astype(np.intp)
+
     def _piece(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, or -1."""
-        out = np.full(hashes.shape, -1, dtype=np.int64)
-        hit = self.table[(mix(hashes) >> _U(44)).astype(np.intp)]
-        h = hashes[hit]
-        at = np.minimum(np.searchsorted(self.t.keys, h), len(self.t.keys) - 1)
-        out[hit] = np.where(self.t.keys[at] == h, self.t.ids[at], -1)
+        slot = self._slot(hashes)
+        out = np.where(self.key_at[slot] == hashes, self.id_at[slot], np.int32(-1))
+        more = self.crowded[slot] & (out < 0)
+        if more.any():
+            h = hashes[more]
+            at = np.minimum(np.searchsorted(self.t.keys, h), len(self.t.keys) - 1)
+            out[more] = np.where(self.t.keys[at] == h, self.t.ids[at], -1)
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,101 +213,165 @@ class Encoder:
             at = at[go]
         return out
 
-    def search(self, codes: np.ndarray) -> list[list[int]]:
-        """Pieces of equally long words: ``codes`` is words x characters."""
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` by memory: a slot holds the last pair that fell into it."""
+        key = a.astype(np.int64) * self.v + b
+        slot = self._slot(key.view(np.uint64))
+        new = np.unique(key[self.seen[slot] != key])
+        if not len(new):
+            return self.answer[slot]
+        ok = self.compatible(new // self.v, new % self.v)
+        at = np.minimum(np.searchsorted(new, key), len(new) - 1)
+        out = np.where(new[at] == key, ok[at], self.answer[slot])
+        where = self._slot(new.view(np.uint64))
+        where, first = np.unique(where, return_index=True)  # of pairs that share a slot, one stays
+        self.seen[where], self.answer[where] = new[first], ok[first]
+        return out
+
+    def _starting(self, codes: np.ndarray, a: int, b: int, longest: int) -> np.ndarray:
+        """words x places a to b x lengths: the piece of that many characters from that place, or -1."""
+        n, size = codes.shape
+        out = np.full((n, b - a, longest), -1, dtype=np.int32)
+        grown = np.zeros((n, b - a), dtype=np.uint64)
+        for k in range(1, min(longest, size - a) + 1):
+            grown = grown[:, : min(b, size - k + 1) - a] * _BASE + codes[:, a + k - 1 : min(b, size - k + 1) + k - 1] + _U(1)
+            out[:, : grown.shape[1], k - 1] = self._piece(grown)
+        one = out[:, :, 0]
+        one[one < 0] = self.t.unknown
+        return out
+
+    def _steps(self, starting: np.ndarray, reach: int) -> np.ndarray:
+        """For the places from ``reach`` on: words x places x length before x length after, whether both can stand there."""
+        n, places, longest = starting.shape
+        ending = np.full((n, places - reach, longest), -1, dtype=np.int32)
+        for k in range(1, min(longest, places - 1) + 1):
+            first = max(reach, k)
+            ending[:, first - reach :, k - 1] = starting[:, first - k : places - k, k - 1]
+        starting = starting[:, reach:]
+        before, after = ending >= 0, starting >= 0
+        left, right = np.flatnonzero(before), np.flatnonzero(after)  # ascend by word and place
+        lefts, rights = before.sum(axis=2).ravel(), after.sum(axis=2).ravel()
+        each = np.repeat(rights, lefts)  # pieces after, for every piece before
+        one, two = np.repeat(left, each), gathered(right, np.repeat(np.cumsum(rights) - rights, lefts), each)
+        ok = np.zeros(n * (places - reach) * longest * longest, dtype=bool)
+        ok[one * longest + two % longest] = self._compatible(ending.ravel()[one], starting.ravel()[two])
+        return ok.reshape(n, places - reach, longest, longest)
+
+    def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of equally long words, end to end; number of pieces of each): ``codes`` is words x characters.
+
+        Characters without a piece are given as -1 - character.
+        """
         t, (n, size) = self.t, codes.shape
         longest = min(t.longest, size)
-        pieces, h = [], np.zeros((n, size + 1), dtype=np.uint64)
-        grown = h[:, :size]
-        for k in range(1, longest + 1):  # pieces[k - 1][:, i]: the piece of k characters from i
-            grown = grown[:, : size - k + 1] * _BASE + codes[:, k - 1 :] + _U(1)
-            pieces.append(self._piece(grown))
-        pieces[0][pieces[0] < 0] = t.unknown
-        last = np.full((n, size + 1), -1, dtype=np.int64)
-        back = np.zeros((n, size + 1), dtype=np.int16)
-        total = np.full((n, size + 1), -np.inf)
-        total[:, 0] = 0.0
-        for j in range(1, size + 1):
-            if t.bpe:
-                open_rows = np.arange(n)
-                for k in range(min(longest, j), 0, -1):  # one length is compatible: stop at the first
-                    piece = pieces[k - 1][open_rows, j - k]
-                    rows = open_rows[piece >= 0]
-                    piece = piece[piece >= 0]
-                    ok = np.ones(len(rows), dtype=bool) if j == k else self.compatible(last[rows, j - k], piece)
-                    rows, piece = rows[ok], piece[ok]
-                    last[rows, j], back[rows, j], total[rows, j] = piece, k, 0.0
-                    if len(rows):
-                        open_rows = open_rows[back[open_rows, j] == 0]
-                    if not len(open_rows):
-                        break
-            else:
-                sums = np.full((n, min(longest, j)), -np.inf)
-                for k in range(1, min(longest, j) + 1):
-                    piece = pieces[k - 1][:, j - k]
-                    score = np.where(piece == t.unknown, self.unknown_score, t.scores[piece])
-                    sums[:, k - 1] = np.where(piece >= 0, total[:, j - k] + score, -np.inf)
-                best = sums.argmax(axis=1)
-                total[:, j], back[:, j] = sums[np.arange(n), best], best + 1
-                for k in range(1, min(longest, j) + 1):
-                    at = best == k - 1
-                    last[at, j] = pieces[k - 1][at, j - k]
-        out: list[list[int]] = [[] for _ in range(n)]
-        end = np.full(n, size)
-        steps = []
-        while (end > 0).any():
-            at = np.flatnonzero(end > 0)
-            steps.append((at, last[at, end[at]], end[at] - back[at, end[at]], end[at]))
-            end[at] -= back[at, end[at]]
-        for at, ids, a, b in reversed(steps):
-            for w, i, x, y in zip(at.tolist(), ids.tolist(), a.tolist(), b.tolist(), strict=True):
-                if i != t.unknown:
-                    out[w].append(i)
-                elif t.byte_ids[0] >= 0:
-                    out[w] += [int(t.byte_ids[c]) for c in "".join(map(chr, codes[w, x:y].tolist())).encode()]
-                elif not (out[w] and out[w][-1] == i):
-                    out[w].append(i)
-        return out
+        total = np.full((size + longest + 1, n), -np.inf, dtype=np.float32)
+        total[0] = 0.0
+        last = np.zeros((size + longest + 1, n), dtype=np.int32)  # the piece that ends here with the largest sum ...
+        back = np.ones((size + longest + 1, n), dtype=np.int16)  # ... and its length
+        rows, block = np.arange(n), max(longest, _CELLS // n)
+        lengths = np.arange(1, longest + 1, dtype=np.int16)[:, None]
+        for a in range(0, size, block):
+            b, from_ = min(a + block, size), max(0, a - longest)
+            starting = self._starting(codes, from_, b, longest)
+            ok = self._steps(starting, a - from_) if t.bpe else None
+            starting = starting[:, a - from_ :]
+            for j in range(a, b):
+                most = min(longest, size - j)
+                pieces = starting[:, j - a, :most].T
+                can = pieces >= 0
+                if t.bpe and j:
+                    can = can & ok[rows, j - a, back[j] - 1, :most].T
+                sums = np.where(can, total[j] + self.gain[pieces], np.float32(-np.inf))
+                ends = slice(j + 1, j + 1 + most)
+                better = sums > total[ends]
+                np.copyto(total[ends], sums, where=better)
+                np.copyto(last[ends], pieces, where=better)
+                np.copyto(back[ends], lengths[:most], where=better)
+        found = np.zeros((n, size), dtype=np.int64)  # from the end: place k holds the piece k before the last
+        count, end, at = np.zeros(n, dtype=np.int64), np.full(n, size), rows
+        while len(at):
+            e = end[at]
+            ids = last[e, at].astype(np.int64)
+            found[at, count[at]] = np.where(ids == t.unknown, -1 - codes[at, e - 1].astype(np.int64), ids)
+            count[at] += 1
+            end[at] = e - back[e, at]
+            at = at[end[at] > 0]
+        flat = gathered(found.ravel(), rows * size, count)
+        starts = np.cumsum(count) - count
+        return flat[np.repeat(2 * starts + count - 1, count) - np.arange(len(flat))], count  # each word's turned round
+
+    def bars(self, n: int) -> list[int]:
+        """Pieces of n bars.  Their scores are equal, so the leftmost two that make a piece merge, again and again: all
+        that stands left of a new bar has merged as far as it can."""
+        sizes: list[int] = []
+        for _ in range(n):
+            sizes.append(1)
+            while len(sizes) > 1 and BAR * (sizes[-2] + sizes[-1]) in self.of:
+                sizes[-2:] = [sizes[-2] + sizes[-1]]
+        return [self.of.get(BAR * k, self.t.unknown) for k in sizes]
 
     def _each(self, parts: list[bytes]) -> list[bytes]:
         words = [p.decode().replace(" ", BAR) for p in parts]
-        out = [b""] * len(parts)
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if self.t.bpe and self.t.ties and w.startswith(BAR * 2):  # bars have tied scores: merge by definition
-                out[i] = np.array(self.search_plain(w), dtype=np.uint32).tobytes()
+        spare = [0] * len(words)
+        if self.t.bpe and self.t.ties:  # several bars: the last one goes with what follows, and the others wait for it
+            spare = [max(0, len(w) - len(w.lstrip(BAR)) - 1) for w in words]
+            words = [w[k:] if k else w for w, k in zip(words, spare, strict=True)]
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        heads = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))])
+        # cut where no piece holds both characters
+        cut = np.ones(len(codes) + 1, dtype=bool)
+        if len(codes) > 1 and len(self.t.inside):
+            two = codes[:-1] << _U(32) | codes[1:]
+            cut[1:-1] = self.t.inside[np.minimum(np.searchsorted(self.t.inside, two), len(self.t.inside) - 1)] != two
+        cut[heads] = True
+        edges = np.flatnonzero(cut)
+        sizes = np.diff(edges)
+        flats, which, of_part, base = [], np.empty(len(sizes), dtype=np.int64), [], 0
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            if size == 1:  # characters repeat most
+                some, back = np.unique(codes[edges[mine]], return_inverse=True)
+                some = some[:, None]
             else:
-                by_size.setdefault(len(w), []).append(i)
-        for size, rows in by_size.items():
-            step = max(1, _CELLS // (size * min(size, self.t.longest)))
-            for a in range(0, len(rows), step):
-                some = rows[a : a + step]
-                codes = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le"), dtype=np.uint32).reshape(len(some), size).astype(np.uint64)
-                for i, ids in zip(some, self.search(codes), strict=True):
-                    out[i] = np.array(ids, dtype=np.uint32).tobytes()
+                some, back = codes[edges[mine][:, None] + np.arange(size)], np.arange(len(mine))
+            which[mine] = back + base
+            base += len(some)
+            step = max(1, _CELLS // size)
+            for a in range(0, len(some), step):
+                flat, count = self.search(some[a : a + step])
+                flats.append(flat)
+                of_part.append(count)
+        flat, count = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (flats, of_part))
+        starts = np.cumsum(count) - count
+        ids = gathered(flat, starts[which], count[which])
+        of_word = np.concatenate([[0], np.cumsum(count[which])])[np.searchsorted(edges, heads)]
+        ids, of_word = self._characters(ids, of_word)
+        raw, at = ids.astype(np.uint32).tobytes(), (4 * of_word).tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        lone = np.uint32(self.of.get(BAR, self.t.unknown)).tobytes()
+        for i in np.flatnonzero(spare).tolist():
+            alone = out[i].startswith(lone) and len(words[i]) > 0
+            out[i] = np.array(self.bars(spare[i] + alone), dtype=np.uint32).tobytes() + out[i][4 * alone :]
         return out
 
-    def search_plain(self, word: str) -> list[int]:
-        """A word that starts with several bars: the bars merge by definition, the rest as any word.
-
-        No piece joins a bar to a bar on its right but bars, so the last bar either merges with what follows or
-        belongs to the bars; the definition decides on the bars and the rest's first pieces together.
-        """
-        bars = len(word) - len(word.lstrip(BAR))
-        if bars <= 64 and len(word) <= 256:
-            return self._ids(merge(word, self.score))
-        return self._ids(_merge_long(word, self.score))
-
-    def _ids(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in parts:
-            if p in self.of:
-                out.append(self.of[p])
-            elif self.t.byte_ids[0] >= 0:
-                out += [int(self.t.byte_ids[c]) for c in p.encode()]
-            else:
-                out.append(self.t.unknown)
-        return out
+    def _characters(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece (negative) as their bytes, or as one unknown piece for several side by side."""
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, ends
+        times = np.ones(len(ids), dtype=np.int64)
+        if self.t.byte_ids[0] < 0:
+            again = odd[(odd > 0) & (ids[np.maximum(odd - 1, 0)] < 0)]
+            times[again[~np.isin(again, ends)]] = 0
+            ids = np.where(ids < 0, self.t.unknown, ids)
+            grown = ids[times > 0]
+        else:
+            code = -1 - ids[odd]
+            times[odd] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+            grown = np.repeat(ids, times)
+            text = np.frombuffer("".join(map(chr, code.tolist())).encode(), dtype=np.uint8)
+            grown[grown < 0] = self.t.byte_ids[text]
+        return grown, np.concatenate([[0], np.cumsum(times)])[ends]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end to end; n + 1 offsets).  Null is empty."""
@@ -307,34 +391,6 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
 
 
-def _merge_long(text: str, score: dict[str, float]) -> list[str]:
-    """``merge`` with a heap, for very long words."""
-    import heapq
-
-    parts: list[str | None] = list(text)
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap: list[tuple[float, int, str]] = []
-
-    def offer(i: int) -> None:
-        if 0 <= i and after[i] < len(parts) and (s := score.get(parts[i] + parts[after[i]])) is not None:
-            heapq.heappush(heap, (-s, i, parts[i] + parts[after[i]]))
-
-    for i in range(len(parts)):
-        offer(i)
-    while heap:
-        _, i, want = heapq.heappop(heap)
-        if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != want:
-            continue
-        j = after[i]
-        parts[i], parts[j] = want, None
-        after[i] = after[j]
-        if after[j] < len(parts):
-            before[after[j]] = i
-        offer(before[i])
-        offer(i)
-    return [p for p in parts if p is not None]
-
-
 class Decoder:
     def __init__(self, tables: Tables):
         self.flat = np.frombuffer(b"".join(tables.surface), dtype=np.uint8)
@@ -377,8 +433,9 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", d
 
     Ids are those of the sentencepiece library for the same model.  Decoding gives the text again, with U+2581
     as a space.  Defined cases: null and empty texts have no ids and decode to empty; characters outside the
-    vocabulary become their bytes; repeated rows get equal results; columns of ``docs`` named ids, n_tokens or
-    decoded are replaced; an empty table stays empty.
+    vocabulary become their bytes; very long texts and words are encoded whole, in time proportional to their length;
+    of paths with equal sums (unigram models) the one with longer pieces at its end goes; repeated rows get equal
+    results; columns of ``docs`` named ids, n_tokens or decoded are replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(load(model_path))

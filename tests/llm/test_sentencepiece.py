@@ -68,12 +68,26 @@ def test_compatible_by_definition(tables):
     assert got.any() and not got.all()
 
 
-def test_merge_long(tables):
-    score = s.Encoder(tables).score
-    rnd = random.Random(3)
-    for _ in range(200):
-        w = "▁" * rnd.randrange(20) + "".join(rnd.choice("abehistn") for _ in range(rnd.randrange(30)))
-        assert s._merge_long(w, score) == s.merge(w, score)
+def test_bars_by_definition(tables):
+    encoder = s.Encoder(tables)
+    for n in range(1, 70):
+        assert encoder.bars(n) == [encoder.of[x] for x in s.merge("▁" * n, encoder.score)]
+
+
+def test_long_words(tables):
+    """Text without spaces, words over several blocks, and the two words that polynomials modulo 2^64 confuse."""
+    import time
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rnd = random.Random(6)
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    some = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(40_000)), "数据获取一个" * 3000, "".join(rnd.choice("etaoinshr") for _ in range(40_000)), "x" * 40_001, f"{a} {a.translate(str.maketrans('ab', 'ba'))}", "http" * 9000 + "数" * 50 + " " * 37 + "the" * 99]
+    began = time.process_time()
+    ids, at = s.Encoder(tables).encode(pa.array(some))
+    assert time.process_time() - began < 20
+    assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == library.encode(some)
 
 
 def test_query(spark, duck):
