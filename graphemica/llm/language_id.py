@@ -7,8 +7,8 @@ Scores of a batch are matrix products: presence matrix (texts x grams) times lan
 landmarks) times weights (landmarks x languages); the last two factors are fixed after training and are
 multiplied once.
 
-Training uses a bounded sample: at most SAMPLE labelled rows, chosen by a hash of the id, equally many per
-language.  Only the model (GRAMS x languages numbers) goes to the executors.
+Training uses a bounded sample: at most SAMPLE labelled texts (one of each language at least), chosen by a hash of
+id and text, equally many per language.  Only the model (GRAMS x languages numbers) goes to the executors.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphemica.llm.textarrays import release
 
 GRAMS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-#: Bounds of training: labelled rows read, landmarks, characters of text, languages.
-SAMPLE, LANDMARKS, SAMPLE_CHARS, LANGUAGES = 2400, 240, 12 << 20, 200
+#: Bounds of training: labelled texts, landmarks, characters of text.
+SAMPLE, LANDMARKS, SAMPLE_CHARS = 2400, 240, 12 << 20
 RIDGE, SHARPNESS = 1e-2, 8.0
 #: Texts in a block, and characters: the presence matrix of a block stays small.
 _BLOCK, _CHARS = 256, 1 << 20
@@ -134,24 +134,27 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a sample of ``labelled`` (see SAMPLE): per language, the rows of the smallest id hashes."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(text_col)).alias("chars")).orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect()
+    """Fit on a sample of ``labelled``: per language, the texts of the smallest hashes of id and text.
+
+    SAMPLE and SAMPLE_CHARS are shared out equally; every language has a text at least, and texts of over a quarter
+    of its characters come last.  Defined cases: null texts and languages teach nothing; a null id is a value like any
+    other; a repeated row counts once; ties of hashes go to the smaller text; an empty table teaches no language.
+    """
+    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.lit("sample"), f"`{id_col}`", f"`{text_col}`").alias("h")).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row per language, as the model has
     if not counts:
         return fit([])
-    share = SAMPLE // len(counts)
-    chance: Column = F.lit(None).cast("double")
-    for r in counts:  # SAMPLE rows and SAMPLE_CHARS characters altogether, as expected values
-        most = min(share, SAMPLE_CHARS / len(counts) / max(r["chars"], 1))
-        chance = F.when(F.col(lang_col) == r[lang_col], F.lit(most / r["n"])).otherwise(chance)
-    draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < chance).select(id_col, text_col, lang_col).collect()
-    sample.sort(key=lambda r: (hash_order(r[0]), r[1]))
-    return fit([(r[1], r[2]) for r in sample])
-
-
-def hash_order(x: int | None) -> int:
-    return (((x or 0) + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
+    share, chars = max(1, SAMPLE // len(counts)), SAMPLE_CHARS / len(counts)
+    # far more rows than needed fall under this mark, so sorting has little to do; rare languages pass whole
+    mark = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 16 * share / max(r["n"], 1)))))) if len(counts) <= 1000 else None
+    if mark is not None:
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= mark[F.col("lang")])
+    once = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.length("text") > chars / 4, "h")
+    least = once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share)
+    sums = least.withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sample = sums.where((F.col("chars") <= chars) | (F.col("k") == 1)).select("h", "text", "lang").collect()
+    return fit([(text, lang) for _, text, lang in sorted(map(tuple, sample))])
 
 
 def _predictor(model: bytes, text_col: str, names: list[str]):
@@ -160,23 +163,25 @@ def _predictor(model: bytes, text_col: str, names: list[str]):
             known = Model(m["languages"].tolist(), m["weights"])
         for batch in batches:
             langs, scores = known.predict(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang", "score"])
             release()
 
     return run
 
 
-def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """Add lang_pred and score (0 to 1) to every row, from the whole text alone.
 
     Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text under a
-    model that has learned no language; ties go to the first language in alphabetical order; repeated rows
-    get equal results; columns of ``docs`` named lang_pred or score are replaced; an empty table stays empty.
+    model that has learned no language; very long texts are read whole; ties go to the first language in
+    alphabetical order; repeated rows get equal results; columns of ``docs`` with the new columns' names are
+    replaced, any others are kept; an empty table stays empty.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kept = docs.select(*(f"`{c}`" for c in names))
-    schema = kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return kept.mapInArrow(_predictor(model.dump(), text_col, names), schema)
+    names = [c for c in docs.columns if c not in (lang_name, score_name)]
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))  # names of any kind stay out of it
+    schema = kept.withColumns({"lang": F.lit(""), "score": F.lit(0.0)}).schema
+    told = kept.mapInArrow(_predictor(model.dump(), f"c{names.index(text_col)}", kept.columns), schema)
+    return told.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("lang").alias(lang_name), F.col("score").alias(score_name))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -184,9 +189,9 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, **names: str) -> DataFrame:
     """Train on the rows of ``docs`` that aren't held out and predict all; languages come from the lang column."""
-    return predict_language(docs, train(docs.where(~held_out())))
+    return predict_language(docs, train(docs.where(~held_out())), **names)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
