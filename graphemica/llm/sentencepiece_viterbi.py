@@ -165,6 +165,8 @@ class Encoder:
         lost = self.key_at[slot] != tables.keys
         self.crowded = np.zeros(_SLOTS, dtype=bool)
         self.crowded[slot[lost]] = True
+        self.beside = np.zeros(_SLOTS, dtype=bool)
+        self.beside[self._slot(tables.inside)] = True
         self.score = {tables.names[i]: tables.scores[i] for i in tables.ids}
         self.of = {tables.names[i]: int(i) for i in tables.ids}
         usable = tables.scores[tables.ids]
@@ -310,19 +312,23 @@ class Encoder:
                 sizes[-2:] = [sizes[-2] + sizes[-1]]
         return [self.of.get(BAR * k, self.t.unknown) for k in sizes]
 
-    def _each(self, parts: list[bytes]) -> list[bytes]:
-        words = [p.decode().replace(" ", BAR) for p in parts]
-        spare = [0] * len(words)
+    def _each(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, end to end; number of ids of each); the words are given as UTF-8, end to end."""
+        codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        codes[codes == 32] = ord(BAR)
+        heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)[np.cumsum(sizes) - 1]]).astype(np.int64)
+        spare = np.zeros(len(sizes), dtype=np.int64)
         if self.t.bpe and self.t.ties:  # several bars: the last one goes with what follows, and the others wait for it
-            spare = [max(0, len(w) - len(w.lstrip(BAR)) - 1) for w in words]
-            words = [w[k:] if k else w for w, k in zip(words, spare, strict=True)]
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        heads = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))])
-        # cut where no piece holds both characters
+            other = np.append(np.flatnonzero(codes != ord(BAR)), len(codes))
+            lead = np.minimum(other[np.searchsorted(other, heads[:-1])], heads[1:]) - heads[:-1]
+            spare = np.maximum(lead - 1, 0)
+            drop = gathered(np.arange(len(codes)), heads[:-1], spare)
+            codes = np.delete(codes, drop)
+            heads = heads - np.concatenate([[0], np.cumsum(spare)])
+        # cut where no piece holds both characters (of few others, whose slots are taken, it isn't known)
         cut = np.ones(len(codes) + 1, dtype=bool)
-        if len(codes) > 1 and len(self.t.inside):
-            two = codes[:-1] << _U(32) | codes[1:]
-            cut[1:-1] = self.t.inside[np.minimum(np.searchsorted(self.t.inside, two), len(self.t.inside) - 1)] != two
+        if len(codes) > 1:
+            cut[1:-1] = ~self.beside[self._slot(codes[:-1] << _U(32) | codes[1:])]
         cut[heads] = True
         edges = np.flatnonzero(cut)
         sizes = np.diff(edges)
@@ -346,13 +352,18 @@ class Encoder:
         ids = gathered(flat, starts[which], count[which])
         of_word = np.concatenate([[0], np.cumsum(count[which])])[np.searchsorted(edges, heads)]
         ids, of_word = self._characters(ids, of_word)
-        raw, at = ids.astype(np.uint32).tobytes(), (4 * of_word).tolist()
-        out = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        lone = np.uint32(self.of.get(BAR, self.t.unknown)).tobytes()
+        count = np.diff(of_word)
+        if not spare.any():
+            return ids, count
+        parts, done, lone = [], 0, self.of.get(BAR, self.t.unknown)
         for i in np.flatnonzero(spare).tolist():
-            alone = out[i].startswith(lone) and len(words[i]) > 0
-            out[i] = np.array(self.bars(spare[i] + alone), dtype=np.uint32).tobytes() + out[i][4 * alone :]
-        return out
+            a = int(of_word[i])
+            alone = int(ids[a] == lone)
+            bars = self.bars(int(spare[i]) + alone)
+            parts += [ids[done:a], np.array(bars)]
+            done = a + alone
+            count[i] += len(bars) - alone
+        return np.concatenate([*parts, ids[done:]]), count
 
     def _characters(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece (negative) as their bytes, or as one unknown piece for several side by side."""
@@ -439,11 +450,14 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", d
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(load(model_path))
-    source = docs.select(*(f"`{c}`" for c in docs.columns if c == text_col or c not in ("ids", "n_tokens", "decoded")))
-    names = [c for c in source.columns if c not in ("ids", "n_tokens", "decoded") and (keep_text or c != text_col)]
-    kept = source.select(*(f"`{c}`" for c in names))
-    new = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")} | ({"decoded": F.lit("")} if decode else {})
-    return source.mapInArrow(_mapper(tables, names, text_col, decode), kept.withColumns(new).schema)
+    new = ["ids", "n_tokens", *["decoded"][: int(decode)]]
+    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded") and (keep_text or c != text_col)]
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # names of any kind stay out of it
+    text = f"c{names.index(text_col)}" if text_col in names else "text"
+    source = docs.select(*kept, *([] if text_col in names else [F.col(f"`{text_col}`").alias("text")]))
+    out = docs.select(*kept, F.array(F.lit(0)).alias("ids"), F.lit(0).cast("long").alias("n_tokens"), *([F.lit("").alias("decoded")] if decode else []))
+    found = source.mapInArrow(_mapper(tables, [f"c{i}" for i in range(len(names))], text, decode), out.schema)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *new)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, *, ids_col: str = "ids") -> DataFrame:
@@ -451,19 +465,21 @@ def decode_pieces(encoded: DataFrame, model_path: str, *, ids_col: str = "ids")
     spark = encoded.sparkSession
     tables = spark.sparkContext.broadcast(load(model_path))
     names = [c for c in encoded.columns if c != "decoded"]
-    kept = encoded.select(*(f"`{c}`" for c in names))
+    kept = encoded.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    ids_at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(tables.value)
         for batch in batches:
-            column = batch.column(ids_col)
+            column = batch.column(ids_at)
             rows = [np.array(x or [], dtype=np.int64) for x in column.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
             texts = decoder.decode(np.concatenate(rows) if rows else np.zeros(0, np.int64), offsets)
             texts = [t if known else None for t, known in zip(texts, column.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit(None).cast("string")).schema)
+    found = kept.mapInArrow(run, kept.withColumn("decoded", F.lit(None).cast("string")).schema)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "decoded")
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:

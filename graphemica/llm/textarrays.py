@@ -132,18 +132,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, nocase: bo
     return out
 
 
-def equal_spans(view: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the bytes from a and from b on are equal, ``size`` of each; ``view`` is that of ``eights``."""
+def equal_spans(view: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a on and those of another text from b on are equal, ``size`` of each.  Both texts are
+    given as ``eights``."""
     same = np.ones(len(a), dtype=bool)
-    at, on = 0, np.flatnonzero(size > 0)
+    at, on = 0, np.arange(len(a))
     while len(on):
         if at >= _LONG:  # few spans are so long: each in one go
-            raw = view.base
             for i in on.tolist():
-                same[i] = bool((raw[a[i] + at : a[i] + size[i]] == raw[b[i] + at : b[i] + size[i]]).all())
+                same[i] = bool((view.base[a[i] + at : a[i] + size[i]] == other.base[b[i] + at : b[i] + size[i]]).all())
             break
         low = _LOW[np.minimum(size[on] - at, 8)]
-        same[on] = (view[a[on] + at] & low) == (view[b[on] + at] & low)
+        same[on] = (view[a[on] + at] & low) == (other[b[on] + at] & low)
         at += 8
         on = on[same[on] & (size[on] > at)]
     return same
@@ -251,41 +251,80 @@ def gathered(flat: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarr
 class SpanCache:
     """Encodes byte spans by their distinct contents and remembers them from batch to batch.
 
-    ``encode`` maps a list of byte strings to a list of ids as u32 bytes.  The memory is bounded: beyond ``most``
-    entries or ``most_bytes`` of spans it starts anew.  Hashes only find equal spans: bytes are compared.
+    ``encode`` takes distinct spans, end to end, and their sizes, and returns their ids, end to end, and the number of
+    ids of each.  The memory is bounded: with ``most`` entries or ``most_bytes`` of spans it starts anew.  Hashes
+    only find equal spans: bytes are compared.
     """
 
+    _SLOTS, _PROBES = 1 << 21, 4
+
     def __init__(self, encode, most: int = 600_000, most_bytes: int = 32 << 20):
-        self.encode, self.most, self.most_bytes, self.known, self.held = encode, most, most_bytes, {}, 0
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table = np.full(self._SLOTS, -1, dtype=np.int32)
+        self.hash, self.bytes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.view = eights(self.bytes)
+        self.start, self.size, self.head, self.count = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _slot(self, hashes: np.ndarray, probe: int) -> np.ndarray:
+        return ((hashes >> _U(43)).astype(np.intp) + probe) & (self._SLOTS - 1)
+
+    def _find(self, hashes: np.ndarray, view: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each span, or -1."""
+        found, left = np.full(len(hashes), -1, dtype=np.int64), np.arange(len(hashes))
+        for probe in range(self._PROBES if len(self.hash) else 0):
+            entry = self.table[self._slot(hashes[left], probe)]
+            left, entry = left[entry >= 0], entry[entry >= 0]
+            same = (self.hash[entry] == hashes[left]) & (self.size[entry] == size[left])
+            at, entry = left[same], entry[same]
+            ok = equal_spans(view, start[at], self.view, self.start[entry], size[at])
+            found[at[ok]] = entry[ok]
+            left = left[~same]
+            if not len(left):
+                break
+        return found
+
+    def _add(self, hashes: np.ndarray, raw: np.ndarray, size: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        base, ends = len(self.hash), np.cumsum(size)
+        self.start = np.concatenate([self.start, len(self.bytes) + ends - size])
+        self.head = np.concatenate([self.head, len(self.flat) + np.cumsum(count) - count])
+        self.hash, self.bytes, self.flat = np.concatenate([self.hash, hashes]), np.concatenate([self.bytes, raw]), np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.size, self.count = np.concatenate([self.size, size]), np.concatenate([self.count, count])
+        self.view = eights(self.bytes)
+        left = base + np.arange(len(hashes))
+        for probe in range(self._PROBES):  # a span that finds no free slot isn't remembered
+            slot = self._slot(self.hash[left], probe)
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            left = left[self.table[slot] != left]
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans, end to end; number of ids of each span)."""
-        size = end - start
-        _, index, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        view = eights(data)
-        other = np.flatnonzero((size != size[index][which]) | ~equal_spans(view, start, start[index][which], np.minimum(size, size[index][which])))
-        if len(other):  # equal hashes of unequal spans: each of these spans stands for itself
-            which[other] = len(index) + np.arange(len(other))
-            index = np.concatenate([index, other])
-        raw = view.base.tobytes()
-        keys = [raw[a:b] for a, b in zip(start[index].tolist(), end[index].tolist(), strict=True)]
-        if len(self.known) > self.most or self.held > self.most_bytes:
-            self.known.clear()
-            self.held = 0
-        fresh = list(dict.fromkeys(k for k in keys if k not in self.known))
-        if fresh:
-            self.known.update(zip(fresh, self.encode(fresh), strict=True))
-            self.held += sum(map(len, fresh))
-        found = [self.known[k] for k in keys]
-        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        heads = np.cumsum(sizes) - sizes
-        return gathered(flat, heads[which], sizes[which]), sizes[which]
+        size, hashes, view = end - start, span_hashes(data, start, end), eights(data)
+        entry = self._find(hashes, view, start, size)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            one = new[first][which]
+            other = np.flatnonzero((size[new] != size[one]) | ~equal_spans(view, start[new], view, start[one], np.minimum(size[new], size[one])))
+            if len(other):  # equal hashes of unequal spans: each of these spans stands for itself
+                which[other] = len(first) + np.arange(len(other))
+                first = np.concatenate([first, other])
+            some = new[first]
+            entry[new] = len(self.hash) + which
+            raw = gathered(data, start[some], size[some])
+            self._add(hashes[some], raw, size[some], *self.encode(raw, size[some]))
+        count = self.count[entry]
+        out = gathered(self.flat, self.head[entry], count)
+        if len(self.hash) > self.most or len(self.bytes) > self.most_bytes:
+            self._clear()
+        return out, count
 
     def close(self) -> None:
         """Forget everything and give the memory back, at the end of a task."""
-        self.known.clear()
-        self.held = 0
+        self._clear()
         gc.collect()
         release()
 

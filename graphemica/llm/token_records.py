@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphemica.llm.buckets import MOST_BYTES, corpus_size, shared_folder, shuffle_partitions
-from graphemica.llm.textarrays import SpanCache, blocks_of, release, text_buffer
+from graphemica.llm.textarrays import SpanCache, blocks_of, gathered, release, text_buffer
 
 END = 0
 _NO_ID = -(1 << 63)
@@ -80,35 +80,38 @@ class BytePairs:
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], dtype=np.int64)
         self.cache = SpanCache(self._each)
 
-    def _each(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each part, as u32.  Parts that start with white space and end in a sure character can stand in a row:
-        a token of byte-level BPE has a fixed number of bytes, so the ids of the row are cut by bytes."""
-        out = [b""] * len(parts)
-        rows: list[list[int]] = []
-        size = _ROW
-        for i, p in enumerate(parts):
-            if not (self.cuts and _SPACE[p[0]] and (0x20 < p[-1] < 0x7F or (p[-1] >= 0x80 and p[-2] == 0xC3))):
-                rows.append([i])
-                size = _ROW
-            elif size + len(p) > _ROW:
-                rows.append([i])
-                size = len(p)
-            else:
-                rows[-1].append(i)
-                size += len(p)
-        for a in range(0, len(rows), 512):
-            texts = [b"".join([parts[i] for i in r]).decode() for r in rows[a : a + 512]]
-            for r, e in zip(rows[a : a + 512], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype=np.uint32)
-                if len(r) == 1:
-                    out[r[0]] = ids.tobytes()
-                    continue
-                ends = np.cumsum([len(parts[i]) for i in r])
-                cuts = (4 * (np.searchsorted(np.cumsum(self.widths[ids]), ends, side="left") + 1)).tolist()
-                raw, a0 = ids.tobytes(), 0
-                for i, b0 in zip(r, cuts, strict=True):
-                    out[i], a0 = raw[a0:b0], b0
-        return out
+    def _each(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each part and their number.  Parts that start with white space and end in a sure character stand in
+        a row: a token of byte-level BPE has a fixed number of bytes, so the ids of the row are cut by bytes."""
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        last = raw[ends - 1]
+        line = np.zeros(len(sizes), dtype=bool)
+        if self.cuts:
+            line = _SPACE[raw[starts]] & (((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (raw[np.maximum(ends - 2, 0)] == 0xC3)))
+        order = np.concatenate([np.flatnonzero(line), np.flatnonzero(~line)])
+        size, lined = sizes[order], int(line.sum())
+        buffer = gathered(raw, starts[order], size).tobytes()
+        ends = np.cumsum(size)
+        fresh = np.ones(len(size), dtype=bool)  # a row ends with the part that reaches the next _ROW bytes
+        fresh[1:lined] = ends[1:lined] // _ROW != ends[: max(lined - 1, 0)] // _ROW
+        heads = (ends - size)[fresh].tolist()
+        found, counts = [], []
+        for a in range(0, len(heads), 512):
+            texts = [buffer[x:y].decode() for x, y in zip(heads[a : a + 512], [*heads[a + 1 : a + 513], *([len(buffer)] if a + 512 >= len(heads) else [])], strict=False)]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                found.append(np.array(e.ids, dtype=np.uint32))
+                counts.append(len(found[-1]))
+        flat = np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
+        count = np.empty(len(size), dtype=np.int64)
+        count[lined:] = counts[len(counts) - (len(size) - lined) :]
+        tokens = int(len(flat) - count[lined:].sum())
+        if lined:
+            cuts = np.searchsorted(np.cumsum(self.widths[flat[:tokens]]), ends[:lined], side="left") + 1
+            count[:lined] = np.diff(cuts, prepend=0)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return gathered(flat, (np.cumsum(count) - count)[back], count[back]), count[back]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end to end; n + 1 offsets)."""
