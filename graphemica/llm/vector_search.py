@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a cell and queries of a cell, at least and at most; training rows; rows that a cell reranks per query before it has a bound.
+#: Rows of a cell and queries of a cell, at least and at most; training rows; rows that a cell reranks per query to get a bound,
+#: beyond which it reranks whatever the bound leaves.
 ROWS, MOST_ROWS, QUERIES, MOST_QUERIES, TRAIN, SHORTLIST = 4096, 65536, 1024, 16384, 8192, 192
 CENTRES, PART, THRESHOLD = 16, 2, 0.2
 _FOUND = "query_id long, vec_id long, score double"
@@ -159,6 +161,11 @@ class _Reach:
         return np.flatnonzero(product >= self.length * np.cos(most))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near one: exact, and squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
@@ -183,9 +190,9 @@ def _cell(book: Codebook, d: int, best: int, shortlist: int):
         if not len(rows) or not len(queries):
             return schema.empty_table()
         rows = rows.sort_by("id")  # ties of the scan go to smaller ids
-        ids, x = rows.column("id").to_numpy(), _matrix(rows.column("v"), d)
+        ids, x = rows.column("id").to_numpy(), _scaled(_matrix(rows.column("v"), d))
         packed = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        qids, q = queries.column("id").to_numpy(), _matrix(queries.column("v"), d)
+        qids, q = queries.column("id").to_numpy(), _scaled(_matrix(queries.column("v"), d))
         units = _unit(x)
         reach = _Reach(book, units, packed)
         n, out = len(ids), []
@@ -230,11 +237,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
 
     Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part, nor
     do rows with a null id; vectors meet those of their own dimension; a repeated row counts once; different
-    vectors under one id are all candidates, never for that id itself; ties go to the smaller id; fewer
+    vectors under one id are all candidates, never for that id itself; components whose squares leave the range of
+    doubles count like any other; ties go to the smaller id; fewer
     candidates than ``best`` give fewer rows; an empty table gives none.  Other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = F.col(f"`{vector_col}`").cast("array<double>")
+    kind = vectors.select(F.col(f"`{vector_col}`").alias("v")).schema["v"].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"  # floats travel as they are
+    v = F.col(f"`{vector_col}`").cast(f"array<{kind}>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & _sound(F.col("v")))
     rows = rows.dropDuplicates(["id", "v"])
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q")).alias("q")).orderBy("d").collect()
@@ -243,13 +253,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         if not q:
             continue
         own = rows.where(F.size("v") == d)
-        draw = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+        draw = F.pmod(F.xxhash64("id", "v", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
         sample = own.where(draw < TRAIN / n).select("id", "v").limit(2 * TRAIN).collect() or own.select("id", "v").limit(TRAIN).collect()
         book = fit(np.array([r[1] for r in sorted(sample)], dtype=np.float64))
         size = min(MOST_ROWS, max(ROWS, int(math.sqrt(n) * 4)))
         row_blocks, query_blocks = -(-n // size), -(-q // min(MOST_QUERIES, max(QUERIES, size // 4)))
-        codes = own.select("id", "v").mapInArrow(_encoder(book, d), "id long, v array<double>, codes binary")
-        block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+        codes = own.select("id", "v").mapInArrow(_encoder(book, d), f"id long, v array<{kind}>, codes binary")
+        # blocks are drawn by id and vector, so not even the vectors of one id share a block
+        block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
         left = codes.select("*", block(row_blocks, "row").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
         right = own.where("q").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), block(query_blocks, "query").alias("qb"))
         found = found.unionByName(left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_cell(book, d, best, shortlist), _FOUND))

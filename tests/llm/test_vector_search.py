@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphemica.llm import vector_search as v
@@ -64,6 +65,29 @@ def test_group_of_close_vectors_larger_than_the_shortlist(spark):
     assert {q: [i for i, _ in found] for q, found in run(spark, rows, 100).items()} == want
 
 
+@pytest.mark.parametrize(("members", "noise"), [(500, 0.01), (1000, 0.01), (500, 0.001), (1000, 0.001)])
+def test_tight_clusters(spark, members, noise):
+    """All rows lie in clusters of near-equal vectors; the nearest found are those of brute force."""
+    rng = np.random.default_rng(members)
+    centres = rng.normal(size=(4000 // members, 64))
+    x = (np.repeat(centres, members, axis=0) + noise * rng.normal(size=(4000, 64))).astype(np.float32)
+    got = run(spark, [(i, r.tolist()) for i, r in enumerate(x)], 100)
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 4000, 100):
+        score = v.cosines(x[q : q + 1], x[None])[0]
+        score[q] = -2
+        hits += len(set(np.lexsort((np.arange(4000), -score))[:5].tolist()) & {i for i, _ in got[q]})
+    assert hits >= 0.99 * 200
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [3e-310, 1e-310]), (3, [1.0, 2.5]), (4, [-1e-200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = v.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 3, 2, 4] and abs(got[0].score - 1) < 1e-12 and abs(got[3].score + 5**-0.5) < 1e-12
+
+
 def test_no_row_of_a_value_is_out_of_reach():
     rng = np.random.default_rng(6)
     x = v._unit(rng.normal(size=(2000, 33)) + rng.normal(size=33) * rng.integers(0, 3, 2000)[:, None])
