@@ -34,8 +34,8 @@ from graphemica.llm.textarrays import SpanCache, blocks_of, gathered, release, t
 
 END = 0
 _NO_ID = -(1 << 63)
-#: Bytes of distinct pieces that are encoded in a row.
-_ROW = 4096
+#: Bytes of distinct pieces that are encoded in a row, and of text taken at a time (which bounds a worker's memory).
+_ROW, TAKEN = 4096, 3 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PARTS = "part int, path string, docs long, tokens long, width int"
@@ -173,7 +173,7 @@ def _writer(definition, folder: str):
 
 def _with_offsets(column: pa.Array):
     at = 0
-    for block in blocks_of(column):
+    for block in blocks_of(column, TAKEN):
         yield at, block
         at += len(block)
 
@@ -183,8 +183,9 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, *, id
 
     Returns one row per file that has records: part, path (without ending), docs, tokens, width (bytes of an
     id).  Defined cases: null and empty texts are the end id alone; null ids come first and read back as
-    null; rows that share an id follow each other in the order of a hash of their text; an empty table
-    writes no records.  Other columns are ignored.  ``folder`` must be one that all executors reach.
+    null, and so does an id of -2^63; rows that share an id follow each other in the order of a hash of their text;
+    very long texts are one record each; repeated rows have a record each; an empty table writes no records.  Other
+    columns are ignored, whatever their names.  ``folder`` must be one that all executors reach.
     """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
