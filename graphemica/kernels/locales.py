@@ -27,6 +27,10 @@ def _match(locale: str | None, known: tuple[str, ...], default: str | None) -> s
     return language if language in known else default
 
 
+def unknown_locale_error(locale: str) -> str:
+    return f"Unknown locale {locale!r}"
+
+
 def casing_locale(locale: str | None = None) -> str:
     return _match(locale, CASING_LOCALES, "any")
 
@@ -66,7 +70,7 @@ def ancestors(locale: str) -> list[str]:
     """``en-US-POSIX`` -> itself, ``en-US``, ``en``, ``root``."""
     tag = locale.replace("_", "-")
     if tag not in SEGMENTATION_LOCALES:
-        raise ValueError(f"Unknown locale {locale!r}")
+        raise ValueError(unknown_locale_error(locale))
     parts = tag.split("-")
     chain = ["-".join(parts[:i]) for i in range(len(parts), 0, -1)]
     return list(dict.fromkeys([*(c for c in chain if c in SEGMENTATION_LOCALES), "root"]))

@@ -36,9 +36,9 @@ def substitute(text: str, known: dict[str, str]) -> str:
 
 
 def _pattern(text: str) -> str:
-    """A rule's side as a pattern: spaces don't count, and a set's difference is written with two signs."""
+    """A rule's side as a pattern: spaces don't count, and difference and intersection of sets have two signs."""
     text = re.sub(r"\s+", "", text)
-    return re.sub(r"-(?=\[|\\[pP]\{)", "--", re.sub(r"(?<=\])&(?=\[)", "&&", text))
+    return re.sub(r"(?<=[\]}])([&-])(?=\[|\\[pP]\{)", r"\1\1", text)
 
 
 def compile_rule(seq: float, text: str, known: dict[str, str]) -> Rule:
@@ -49,10 +49,18 @@ def compile_rule(seq: float, text: str, known: dict[str, str]) -> Rule:
     return Rule(seq, op, f"(?:{_pattern(fore)})$" if fore.strip() and fore.strip().lower() != "any" else None, f"^(?:{_pattern(aft)})" if aft.strip() and aft.strip().lower() != "any" else None)
 
 
-def compile_rules(rules: Sequence[tuple[float, str]], variables: Sequence[tuple[str, str]]) -> list[Rule]:
-    """Rules in the order of their ids."""
+#: The place of the rule for abbreviations among the rules for sentences.
+SUPPRESSIONS = 10.5
+
+
+def compile_rules(rules: Sequence[tuple[float, str]], variables: Sequence[tuple[str, str]], suppressions: Sequence[str] = ()) -> list[Rule]:
+    """Rules in the order of their ids; with abbreviations, one more rule forbids a break after each of them."""
     known = expand_variables(variables)
-    return [compile_rule(seq, text, known) for seq, text in sorted(rules)]
+    out = [compile_rule(seq, text, known) for seq, text in sorted(rules)]
+    if listed := suppressions_variable(suppressions):
+        out.append(compile_rule(SUPPRESSIONS, f"{listed[0]}\\s* ×", {listed[0].lstrip("$"): listed[1]}))
+        out.sort(key=lambda r: r.seq)
+    return out
 
 
 def suppressions_variable(listed: Sequence[str]) -> tuple[str, str] | None:
@@ -63,7 +71,9 @@ def suppressions_variable(listed: Sequence[str]) -> tuple[str, str] | None:
 def evaluate_rules(text: str | tuple[str, str], rules: Sequence[Rule]) -> tuple[str, tuple[str, tuple[str, str]]]:
     """(op, (before, (matched, rest))) by the first rule that holds; without one there is a break.
 
-    A text alone is looked at from its start.  ``matched`` is what the rule saw after the place.
+    A text alone is looked at from its start.  ``matched`` is what the rule saw after the place.  The rule for
+    abbreviations holds at the end of a text as well, and gives back what stands before the abbreviation and the
+    abbreviation itself (or that and nothing).
     """
     import regex
 
@@ -71,6 +81,11 @@ def evaluate_rules(text: str | tuple[str, str], rules: Sequence[Rule]) -> tuple[
     flags = regex.VERSION1 | regex.DOTALL | regex.UNICODE
     for rule in rules:
         fore = rule.fore is None or regex.search(rule.fore.removesuffix("$") + r"\Z", before, flags)
+        if rule.seq == SUPPRESSIONS and rule.aft is None and rule.fore is not None:
+            if fore:
+                head, found = before[: fore.start()], before[fore.start() :]
+                return rule.op, (before, (head, found) if head else (found, ""))
+            continue
         aft = None if rule.aft is None else regex.match(rule.aft, after, flags)
         if fore and (rule.aft is None or aft):
             size = aft.end() if aft else min(1, len(after))

@@ -1,20 +1,21 @@
 """Boundary kernels: a text becomes a string of class letters, and rules run over that small alphabet.
 
 Graphemes and words are regular languages over classes, so one possessive pattern finds all segments in one
-pass.  Sentences look only at terminators.  Line breaks run a pair rule with five parts of state, remembered
-per (state, class, next class).  All are linear in the text.
+pass.  Sentences look only at terminators.  Line breaks follow the rule table of ``line``.  All are linear in the
+text, and all give their segments one after the other.
 """
 
 from __future__ import annotations
 
-import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 from graphemica.kernels.dictionary import Dictionary, greedy_word, lookahead_breaks
 from graphemica.kernels.locales import check_break, dictionary_of, segmentation_locale
-from graphemica.kernels.properties import LINE, ClassTable, class_table, dictionary_script, marks
+from graphemica.kernels.line import line_break, line_ends
+from graphemica.kernels.properties import ClassTable, class_table, dictionary_script, marks
 
 _GRAPHEME = re.compile(
     rb"rn|[rnc]|p*+(?:L*+(?:[AV]V*+T*+|BT*+)|L++|T++|RR?|X(?:[ekE]*+zX)*+|C(?:[ez]*+k[ezk]*+C)*+|[^rncp])?[ekEzs]*+"
@@ -56,12 +57,12 @@ class Classifier:
         return {"table": self.table, "_flat": None}
 
 
-def grapheme_ends(classes: bytes) -> list[int]:
-    return [m.end() for m in _GRAPHEME.finditer(classes) if m.end() > m.start()]
+def grapheme_ends(classes: bytes) -> Iterator[int]:
+    return (m.end() for m in _GRAPHEME.finditer(classes) if m.end() > m.start())
 
 
-def word_ends(classes: bytes) -> list[int]:
-    return [m.end() for m in _WORD.finditer(classes)]
+def word_ends(classes: bytes) -> Iterator[int]:
+    return (m.end() for m in _WORD.finditer(classes))
 
 
 def _suppressed(text: str, classes: bytes, start: int, end: int, words: frozenset[str]) -> bool:
@@ -77,8 +78,8 @@ def _suppressed(text: str, classes: bytes, start: int, end: int, words: frozense
     return j < i - 1 and text[j : i - 1].lower() in words
 
 
-def sentence_ends(text: str, classes: bytes, words: frozenset[str] = frozenset()) -> list[int]:
-    out, start, at, n = [], 0, 0, len(classes)
+def sentence_ends(text: str, classes: bytes, words: frozenset[str] = frozenset()) -> Iterator[int]:
+    start, at, n = 0, 0, len(classes)
     while at < n:
         m = _TERMINATED.search(classes, at)
         if not m:
@@ -86,7 +87,7 @@ def sentence_ends(text: str, classes: bytes, words: frozenset[str] = frozenset()
         end, head = m.end(), classes[m.start()]
         at = end
         if m[3] or head in b"rnp":  # a separator ends the sentence, whatever follows
-            out.append(end)
+            yield end
             start = end
             continue
         if end == n:
@@ -106,126 +107,10 @@ def sentence_ends(text: str, classes: bytes, words: frozenset[str] = frozenset()
                 continue
             if words and _suppressed(text, classes, start, end, words):
                 continue
-        out.append(end)
+        yield end
         start = end
     if start < n:
-        out.append(n)
-    return out
-
-
-# ---- line
-
-_N = {name: i for i, name in enumerate(LINE)}
-
-
-def _set(*names: str) -> frozenset[int]:
-    return frozenset(_N[n] for n in names)
-
-
-_HARD, _SOFT = _set("BK", "CR", "LF", "NL"), _set("BK", "CR", "LF", "NL", "SP", "ZW")
-_AL, _CLOSE, _PRPO, _ID = _set("AL", "HL"), _set("CL", "CP"), _set("PR", "PO"), _set("ID", "EB", "EM")
-_CM, _HANGUL = _set("CM", "ZWJ"), _set("JL", "JV", "JT", "H2", "H3")
-_START = -1
-
-
-def _line_joined(e: int, e2: int, pa: int, run: str, odd: bool, c: int, nxt: int) -> bool:
-    """No break before class c.  e, e2: effective classes before; pa: actual; run: what spaces follow."""
-    n = _N
-    if e == n["BK"]:
-        return False
-    if pa == n["CR"] and c == n["LF"]:
-        return True
-    if e in _HARD:
-        return False
-    if c in _HARD or c in (n["SP"], n["ZW"]):
-        return True
-    if run == "zw":
-        return False
-    if pa == n["ZWJ"] or (c in _CM and e not in _SOFT) or c == n["WJ"] or e in (n["WJ"], n["GL"]):
-        return True
-    if c == n["GL"] and e not in (n["SP"], n["BA"], n["HY"]):
-        return True
-    if run == "op" or (run == "qu" and c == n["OP"]) or (run == "cl" and c == n["NS"]) or (run == "b2" and c == n["B2"]):
-        return True
-    if c == n["IS"]:
-        return not (e == n["SP"] and nxt == n["NU"])
-    if c in _CLOSE or c in (n["EX"], n["SY"]):
-        return True
-    if e == n["SP"]:
-        return False
-    if n["QU"] in (c, e):
-        return True
-    if n["CB"] in (c, e):
-        return False
-    if e == n["HY"] and c in _AL and (e2 == _START or e2 in _SOFT or e2 in (n["CB"], n["GL"])):
-        return True
-    if c in (n["BA"], n["HY"], n["NS"], n["IN"]) or e == n["BB"] or (e2 == n["HL"] and e in (n["HY"], n["BA"])) or (e == n["SY"] and c == n["HL"]):
-        return True
-    if c == n["NU"]:
-        if e in _AL or e in _PRPO or e in (n["HY"], n["IS"], n["NU"], n["SY"], n["CP"]):
-            return True
-    elif c in _AL:
-        if e in _AL or e in _PRPO or e in (n["NU"], n["IS"], n["CP"]):
-            return True
-    elif c in _PRPO:
-        if e in _AL or e in (n["CL"], n["CP"], n["NU"]) or (c == n["PO"] and (e in _ID or e in _HANGUL)):
-            return True
-    elif c in _ID and e == n["PR"]:
-        return True
-    elif c == n["OP"] and (e in _PRPO or e in _AL or e == n["NU"]):
-        return True
-    if e == n["JL"] and c in (n["JL"], n["JV"], n["H2"], n["H3"]):
-        return True
-    if (e in (n["JV"], n["H2"]) and c in (n["JV"], n["JT"])) or (e in (n["JT"], n["H3"]) and c == n["JT"]):
-        return True
-    return (e == n["PR"] and c in _HANGUL) or (c == n["RI"] == e and odd) or (e == n["EB"] and c == n["EM"])
-
-
-def _line_advance(state: tuple | None, c: int) -> tuple:
-    e, e2, pa, run, odd = state or (_START, _START, _START, "", False)
-    if c == _N["OP"]:
-        run = "op"
-    elif c == _N["QU"]:
-        run = "qu"
-    elif c in _CLOSE:
-        run = "cl"
-    elif c == _N["B2"]:
-        run = "b2"
-    elif c == _N["ZW"]:
-        run = "zw"
-    elif c != _N["SP"] and c not in _CM:
-        run = ""
-    odd = not odd if c == _N["RI"] else False
-    if c in _CM:
-        return (_N["AL"] if e == _START or e in _SOFT else e, e2, c, run, odd)
-    return (c, e, c, run, odd)
-
-
-@functools.lru_cache(1 << 16)
-def _line_step(state: tuple, c: int, nxt: int) -> tuple[bool, tuple]:
-    joined = _line_joined(*state, c, nxt)
-    return joined, _line_advance(state if joined else None, c)
-
-
-def line_ends(classes: bytes) -> list[int]:
-    if not classes:
-        return []
-    out, n = [], len(classes)
-    need = _N["IS"]
-    state = _line_advance(None, classes[0])
-    for i in range(1, n):
-        c = classes[i]
-        nxt = -1
-        if c == need:  # only an infix separator asks for the class after it, past CM and ZWJ
-            peek = i + 1
-            while peek < n and classes[peek] in _CM:
-                peek += 1
-            nxt = classes[peek] if peek < n else -1
-        joined, state = _line_step(state, c, nxt)
-        if not joined:
-            out.append(i)
-    out.append(n)
-    return out
+        yield n
 
 
 # ---- one break type in one locale
@@ -253,8 +138,8 @@ class Segmenter:
         found = self.dictionaries.get(name) if name else None
         return found if found and found.available() else None
 
-    def ends(self, text: str) -> list[int]:
-        """Ends of the segments that the rules alone give."""
+    def boundaries(self, text: str) -> Iterator[int]:
+        """Ends of the segments that the rules alone give, one after the other."""
         classes = self.classify(text)
         if self.break_type == "grapheme":
             return grapheme_ends(classes)
@@ -264,69 +149,69 @@ class Segmenter:
             return sentence_ends(text, classes, self.words)
         return line_ends(classes)
 
-    def _rules(self, text: str) -> list[str]:
-        ends = self.ends(text)
-        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    def ends(self, text: str) -> list[int]:
+        return list(self.boundaries(text))
+
+    def _rules(self, text: str) -> Iterator[str]:
+        at = 0
+        for end in self.boundaries(text):
+            yield text[at:end]
+            at = end
 
-    def _greedy(self, text: str, dictionary: Dictionary) -> list[str]:
+    def _greedy(self, text: str, dictionary: Dictionary) -> Iterator[str]:
         """Dictionary runs word by word, the rest by rules, cut before the next dictionary run."""
         inside, mark = self.script(text), self.marks(text)
-        out, at, n = [], 0, len(text)
+        at, n = 0, len(text)
         while at < n:
             if inside[at]:
                 end = greedy_word(text, at, inside, mark, dictionary)
-            else:
-                stop = inside.find(1, at)
-                end = at + self.first(text[at : stop + 1 if stop >= 0 else n])
-                # a rule segment is cut where the run starts; later characters of the run can't change that
-                end = min(end, stop) if stop >= 0 else end
-                if stop < 0:
-                    ends = self.ends(text[at:])
-                    out += [text[at + a : at + b] for a, b in zip([0, *ends], ends, strict=False)]
+                yield text[at:end]
+                at = end
+                continue
+            stop = inside.find(1, at)
+            stop = n if stop < 0 else stop
+            # the rules see the run's first character, and what they would join with it is cut; later ones change nothing
+            head = at
+            for end in self.boundaries(text[at : stop + 1]):
+                end = min(at + end, stop)
+                yield text[head:end]
+                head = end
+                if end == stop:
                     break
-            out.append(text[at:end])
-            at = end
-        return out
-
-    def first(self, text: str) -> int:
-        return self.ends(text)[0]
+            at = stop
 
-    def _lookahead(self, text: str, name: str, dictionary: Dictionary, rest) -> list[str]:
+    def _lookahead(self, text: str, name: str, dictionary: Dictionary, rest) -> Iterator[str]:
         """Runs of a script by the dictionary with look-ahead, everything else by ``rest``."""
-        out: list[str] = []
         for i, part in enumerate(_BLOCKS[name].split(text)):
             if not part:
                 continue
             if i % 2 == 0:
-                out += rest(part)
+                yield from rest(part)
             elif len(part) < 4:
-                out.append(part)
+                yield part
             else:
                 cuts = [0, *lookahead_breaks(part, name, dictionary, self.marks(part)), len(part)]
-                out += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
+                yield from (part[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
-    def stream(self, text: str | None) -> list[str] | None:
-        """Segments one after the other (``next`` until the end)."""
-        if text is None:
-            return None
+    def walk(self, text: str | None) -> Iterator[str]:
+        """Segments one after the other (``next`` until the end); each is found when it is asked for."""
         if not text:
-            return []
+            return iter(())
         if dictionary := self.loaded(self.dictionary):
             return self._greedy(text, dictionary)
         return self._rules(text)
 
+    def stream(self, text: str | None) -> list[str] | None:
+        return None if text is None else list(self.walk(text))
+
     def split(self, text: str | None) -> list[str] | None:
         """All segments.  Differs from ``stream`` for Thai, Lao, Khmer and Burmese words and for lines."""
         if not text:
             return self.stream(text)
         if self.break_type == "word" and self.dictionary in _BLOCKS and (dictionary := self.loaded(self.dictionary)):
-            return self._lookahead(text, self.dictionary, dictionary, lambda part: self._greedy(part, dictionary))
+            return list(self._lookahead(text, self.dictionary, dictionary, lambda part: self._greedy(part, dictionary)))
         if self.break_type == "line":
-            out: list[str] = []
-            for segment in self._rules(text):
-                out += self._line_words(segment)
-            return out
+            return [word for segment in self._rules(text) for word in self._line_words(segment)]
         return self.stream(text)
 
     def _line_words(self, segment: str) -> list[str]:
@@ -344,11 +229,11 @@ class Segmenter:
 
     def next(self, text: str | None, trim: bool = False) -> tuple[str, str] | None:
         """(first segment, rest); with ``trim`` the first that isn't white space.  None at the end."""
-        while text:
-            segment = self.stream(text)[0] if self.loaded(self.dictionary) else text[: self.first(text)]
-            text = text[len(segment) :]
+        at = 0
+        for segment in self.walk(text):
+            at += len(segment)
             if not (trim and is_white(segment)):
-                return segment, text
+                return segment, text[at:]
         return None
 
     def is_break(self, before: str, after: str) -> bool:
@@ -358,40 +243,22 @@ class Segmenter:
         if self.break_type == "sentence":
             return _sentence_break(self, before, after)
         if self.break_type == "word":
-            return _word_break(self.classify(before + after), len(before))
+            return len(before) in word_ends(self.classify(before + after))
         if self.break_type == "grapheme":
-            return _grapheme_break(self.classify(before + after[:1]))
-        classes = self.classify(before + after)
-        state = None
-        for c in classes[: len(before)]:
-            state = _line_advance(state, c)
-        rest = [c for c in classes[len(before) + 1 :] if c not in _CM]
-        return not _line_joined(*state, classes[len(before)], rest[0] if rest else -1)
-
-
-def _grapheme_break(classes: bytes) -> bool:
-    """Whether the last class begins a cluster."""
-    return len(classes) - 1 in grapheme_ends(classes)
-
-
-def _word_break(classes: bytes, at: int) -> bool:
-    return at in word_ends(classes)
+            return len(before) in grapheme_ends(self.classify(before + after[:1]))
+        return line_break(self.classify(before + after), len(before))
 
 
 def _sentence_break(seg: Segmenter, before: str, after: str) -> bool:
     classes = seg.classify(before)
-    ends = sentence_ends(before, classes, seg.words)
+    ends = list(sentence_ends(before, classes, seg.words))
     start = ([0, *ends[:-1]])[-1]
-    if ends and ends[-1] == len(before) and _closed(classes[start:]):
+    if ends and ends[-1] == len(before) and classes[-1] in b"rnp":
         # the last sentence of ``before`` has ended by a separator
         return not (classes[-1] == 114 and after[0] == "\n")
     part = before[start:]
     whole = part + after
-    return len(part) in set(sentence_ends(whole, seg.classify(whole), seg.words))
-
-
-def _closed(classes: bytes) -> bool:
-    return bool(classes) and classes[-1] in b"rnp"
+    return len(part) in sentence_ends(whole, seg.classify(whole), seg.words)
 
 
 def is_white(text: str) -> bool:

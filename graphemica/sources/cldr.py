@@ -8,10 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphemica.kernels.locales import ancestors, segmentation_locale
+from graphemica.kernels.locales import SEGMENTATION_LOCALES, ancestors, segmentation_locale
 
 _SETS = {"GraphemeClusterBreak": "grapheme_cluster_break", "LineBreak": "line_break", "SentenceBreak": "sentence_break", "WordBreak": "word_break"}
-#: LDML files of this package.
+#: LDML files of this package: variables and rules of root, and of the locales that have their own.
 BUNDLED = Path(__file__).parent / "ldml"
 _suppressions: dict[str, tuple[str, ...]] = {}
 
@@ -53,8 +53,6 @@ def suppression_words(spark: SparkSession, locale: str | None) -> frozenset[str]
 
 
 def suppressions_frame(spark: SparkSession) -> DataFrame:
-    from graphemica.kernels.locales import SEGMENTATION_LOCALES
-
     rows = [(loc, "sentence", i, s) for loc in SEGMENTATION_LOCALES for i, s in enumerate(suppressions(spark, loc))]
     return spark.createDataFrame(rows, "locale string, break_type string, ordinal int, value string")
 
@@ -77,18 +75,19 @@ def read_ldml(path: str | Path) -> dict[str, SegmentData]:
     return out
 
 
-def read_segments(folder: str | Path | None = None, locale: str = "root") -> dict[str, SegmentData]:
-    """A locale's data after that of its ancestors, root first.  Locales without a file add nothing.
+def segment_files(folder: str | Path | None = None) -> dict[str, Path]:
+    """Locale -> its LDML file, for the locales that have one; without a folder, the files of this package."""
+    found = {f.stem.replace("_", "-"): f for f in Path(BUNDLED if folder is None else folder).glob("*.xml")}
+    return {name: found[name] for name in SEGMENTATION_LOCALES if name in found}
+
 
-    Without a folder, the files of this package: graphemes, words and sentences of root, and Greek sentences.
-    """
-    folder = BUNDLED if folder is None else folder
+def read_segments(folder: str | Path | None = None, locale: str = "root") -> dict[str, SegmentData]:
+    """A locale's data after that of its ancestors, root first.  Locales without a file add nothing.  Unknown locales raise
+    a ValueError.  (The bundled files hold no suppressions: see ``suppressions``.)"""
+    files = segment_files(folder)
     merged: dict[str, SegmentData] = {}
     for name in reversed(ancestors(locale)):
-        path = Path(folder) / f"{name.replace('-', '_')}.xml"
-        if not path.exists():
-            continue
-        for kind, data in read_ldml(path).items():
+        for kind, data in (read_ldml(files[name]) if name in files else {}).items():
             into = merged.setdefault(kind, SegmentData())
             into.variables += data.variables
             into.rules += data.rules
@@ -96,6 +95,14 @@ def read_segments(folder: str | Path | None = None, locale: str = "root") -> dic
     return merged
 
 
+def segment_data(locale: str, break_type: str, folder: str | Path | None = None) -> SegmentData:
+    """The data of one type, like ``word_break``; an unknown type raises a ValueError."""
+    merged = read_segments(folder, locale)
+    if break_type not in merged:
+        raise ValueError(f"Unknown segment type {break_type!r}")
+    return merged[break_type]
+
+
 def segment_frames(spark: SparkSession, folder: str | Path | None = None, locale: str = "root") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variables, rules, suppressions) of a locale as tables."""
     data = read_segments(folder, locale)

@@ -1,7 +1,7 @@
 import pytest
 
 from graphemica.kernels import rules as r
-from graphemica.sources.cldr import read_segments, segment_frames
+from graphemica.sources.cldr import read_segments, segment_data, segment_files, segment_frames
 
 ROOT = """<ldml><segmentations><segmentation type="WordBreak"><variables>
 <variable id="$L">[a-z]</variable><variable id="$Mid">[.']</variable><variable id="$X">[$L-[x]]</variable></variables>
@@ -37,27 +37,34 @@ def test_variables():
     assert r.suppressions_variable([]) is None and r.suppressions_variable(["Mr."])[0] == "$Suppressions"
 
 
-SAMPLES = ["Hello, don't 1,234.5 a_b x.", "a\u0301 b\r\nc", "\U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1fa\U0001f1f8\U0001f1ec\U0001f1e7\U0001f1eb", "\u0915\u094d\u0915 \uac01\u11a8", "He said. \"Go.\" Then 3.4 (end.) x! A. B", "\u05d0\"\u05d0 \u05d0' abc_\u30ad\u30ed", "etc. and so? Yes"]
-
-
-@pytest.mark.parametrize(("kind", "name"), [("grapheme", "grapheme_cluster_break"), ("word", "word_break"), ("sentence", "sentence_break")])
-def test_bundled_rules_equal_kernels(kind, name):
-    """The evaluator on the annex's rules, place by place, against the kernels."""
-    from graphemica.kernels.segment import Segmenter
-
-    data = read_segments()[name]
-    rules = r.compile_rules(data.rules, data.variables)
-    seg = Segmenter(kind)
-    for text in SAMPLES:
-        ends = set(seg.ends(text))
-        for i in range(1, len(text)):
-            assert (r.evaluate_rules((text[:i], text[i:]), rules)[0] == "break") == (i in ends), (text, i)
-
-
-def test_greek_tailoring():
-    root, greek = (read_segments(None, x)["sentence_break"] for x in ("root", "el"))
-    op = lambda d: r.evaluate_rules(("\u03b3; ", "\u0395"), r.compile_rules(d.rules, d.variables))[0]
-    assert (op(root), op(greek)) == ("no_break", "break")
+def test_tailorings():
+    """Locales whose files change rules or variables of root."""
+    word = lambda loc: r.compile_rules(*(lambda d: (d.rules, d.variables))(segment_data(loc, "word_break")))
+    line = lambda loc: r.compile_rules(*(lambda d: (d.rules, d.variables))(segment_data(loc, "line_break")))
+    op = lambda rules, a, b: r.evaluate_rules((a, b), rules)[0]
+    assert (op(word("root"), "\u3042", "\u3044"), op(word("ja"), "\u3042", "\u3044")) == ("break", "no_break")
+    # a locale's variables come after all of root's: what root has already made of them stays
+    last = lambda loc, kind: segment_data(loc, kind).variables[-1]
+    assert last("el", "sentence_break") == ("$STerm", "[[$STerm] [\\u003B \\u037E]]") and last("fi", "word_break") == last("sv", "word_break") == ("$MidLetter", "\\p{Word_Break=MidLetter}")
+    assert [n for n, _ in segment_data("en-US-POSIX", "word_break").variables[-2:]] == ["$MidNumLet", "$MidNum"]
+    assert (op(line("root"), "a", "\u3041"), op(line("ja"), "a", "\u3041")) == ("no_break", "break") == (op(line("root"), "a", "\u3041"), op(line("zh-Hant"), "a", "\u3041"))
+    assert set(segment_files()) == {"root", "el", "ja", "zh", "zh-Hant", "fi", "sv", "en-US-POSIX"}
+
+
+def test_suppressions_rule():
+    d = read_segments()["sentence_break"]
+    rules = r.compile_rules(d.rules, d.variables, ["Mr.", "Ph.D."])
+    assert [x.seq for x in rules if x.seq > 10][:2] == [10.5, 11.0]
+    assert r.evaluate_rules(("Hi Mr. ", "Smith"), rules) == ("no_break", ("Hi Mr. ", ("Hi ", "Mr. ")))
+    assert r.evaluate_rules(("Mr. ", ""), rules) == ("no_break", ("Mr. ", ("Mr. ", "")))
+    assert r.evaluate_rules(("Hi Mx. ", "Smith"), rules)[0] == "break"
+
+
+def test_unknown_types_and_locales():
+    with pytest.raises(ValueError, match="Unknown segment type 'paragraph_break'"):
+        segment_data("en", "paragraph_break")
+    with pytest.raises(ValueError, match="Unknown locale 'xx'"):
+        segment_data("xx", "word_break")
 
 
 def test_frames(spark, folder):
