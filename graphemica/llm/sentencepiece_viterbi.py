@@ -22,6 +22,7 @@ encodes a distinct word once (bounded memory).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << 40
 #: Places (words times characters) that are prepared at a time, and slots for the remembered compatibility of pairs.
 _CELLS, _SLOTS = 1 << 15, 1 << 20
-#: Words that a worker remembers, and bytes of text that it takes at a time: both bound its memory.
+#: Words that a worker remembers (also from task to task), and bytes of text that it takes at a time: both bound its memory.
 REMEMBERED, TAKEN = 300_000, 3 << 20
 
 
@@ -83,6 +84,7 @@ class Tables:
     byte_ids: np.ndarray  # id of each byte, -1 without byte fallback
     surface: list[bytes]  # by id, for decoding
     dummy_prefix: bool
+    key: str  # a digest of the file and the kind
 
 
 def load(model_path: str, unigram: bool | None = None) -> Tables:
@@ -141,7 +143,7 @@ def load(model_path: str, unigram: bool | None = None) -> Tables:
     keys = np.array([_key(names[i]) for i in usable], dtype=np.uint64)
     at = np.argsort(keys)
     inside = np.unique(np.array([ord(x) << 32 | ord(y) for i in usable for x, y in zip(names[i], names[i][1:], strict=False)], dtype=np.uint64))
-    return Tables(bool(bpe), sp.unk_id(), max(len(names[i]) for i in usable), keys[at], np.array(usable, dtype=np.int64)[at], scores, order, left, right, pairs, merged, ties, inside, names, byte_ids, surface, probe[0].startswith(BAR))
+    return Tables(bool(bpe), sp.unk_id(), max(len(names[i]) for i in usable), keys[at], np.array(usable, dtype=np.int64)[at], scores, order, left, right, pairs, merged, ties, inside, names, byte_ids, surface, probe[0].startswith(BAR), hashlib.sha256(open(model_path, "rb").read() + bytes([bool(bpe)])).hexdigest())
 
 
 def _last_merge(text: str, score: dict[str, float]) -> tuple[str, str] | None:
@@ -420,9 +422,20 @@ class Decoder:
         return out
 
 
+_known: dict[str, Encoder] = {}
+
+
+def _encoder(tables: Tables) -> Encoder:
+    """One for each worker: what it has encoded in one task serves the next."""
+    if tables.key not in _known:
+        _known.clear()
+        _known[tables.key] = Encoder(tables)
+    return _known[tables.key]
+
+
 def _mapper(tables, names: list[str], text_col: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(tables.value), Decoder(tables.value)
+        encoder, decoder = _encoder(tables.value), Decoder(tables.value)
         for batch in batches:
             at = 0
             for texts in blocks_of(batch.column(text_col), TAKEN):
@@ -433,7 +446,6 @@ def _mapper(tables, names: list[str], text_col: str, keep_text: bool):
                 yield pa.RecordBatch.from_arrays([*some, values, pa.array(np.diff(offsets), pa.int64()), *decoded], [*names, "ids", "n_tokens", *["decoded"][: len(decoded)]])
                 at += len(texts)
             release()
-        encoder.cache.close()
 
     return run
 

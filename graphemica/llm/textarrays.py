@@ -7,7 +7,6 @@ the cost per byte is a handful of array passes and no Python object is made per
 from __future__ import annotations
 
 import ctypes
-import gc
 
 import numpy as np
 import pyarrow as pa
@@ -322,12 +321,6 @@ class SpanCache:
             self._clear()
         return out, count
 
-    def close(self) -> None:
-        """Forget everything and give the memory back, at the end of a task."""
-        self._clear()
-        gc.collect()
-        release()
-
 
 def blocks_of(column: pa.Array, most: int = 8 << 20):
     """Slices of a text column of at most ``most`` bytes, or of one longer text."""

@@ -36,6 +36,8 @@ END = 0
 _NO_ID = -(1 << 63)
 #: Bytes of distinct pieces that are encoded in a row, and of text taken at a time (which bounds a worker's memory).
 _ROW, TAKEN = 4096, 3 << 20
+#: Distinct pieces that a worker remembers, also from task to task (about 90 bytes each).
+REMEMBERED = 800_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PARTS = "part int, path string, docs long, tokens long, width int"
@@ -78,7 +80,7 @@ class BytePairs:
         #: Cutting before white space is exact for the byte-level pattern only.
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not known.get("normalizer") and not special
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], dtype=np.int64)
-        self.cache = SpanCache(self._each)
+        self.cache = SpanCache(self._each, REMEMBERED)
 
     def _each(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each part and their number.  Parts that start with white space and end in a sure character stand in
@@ -130,6 +132,17 @@ class BytePairs:
         return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, offsets)]
 
 
+_known: dict[str, BytePairs] = {}
+
+
+def _pairs(definition: str) -> BytePairs:
+    """One for each worker: what it has encoded in one task serves the next."""
+    if definition not in _known:
+        _known.clear()
+        _known[definition] = BytePairs(definition)
+    return _known[definition]
+
+
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
 
@@ -138,7 +151,7 @@ def _writer(definition, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         files, root = _place(folder)
-        pairs = BytePairs(definition.value)
+        pairs = _pairs(definition.value)
         kind = np.dtype("<u2") if pairs.vocabulary <= 1 << 16 else np.dtype("<u4")
         mine = f"{root}/.{part:05d}-{uuid.uuid4().hex}"
         index: list[np.ndarray] = []
@@ -164,7 +177,6 @@ def _writer(definition, folder: str):
                 out.write(rows.tobytes())
         for kind_of in ("rec", "idx"):
             files.move(f"{mine}.{kind_of}", f"{root}/part-{part:05d}.{kind_of}")
-        pairs.cache.close()
         if docs:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:05d}"], "docs": [docs], "tokens": [tokens], "width": pa.array([kind.itemsize], pa.int32())})
 
