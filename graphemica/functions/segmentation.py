@@ -22,6 +22,7 @@ from graphemica.kernels.segment import Segmenter
 #: Texts that the native patterns cover.
 LATIN = "\\A[\\x00-\\xAC\\xAE-\\x{24F}]*+\\z"
 _WHITE = "^[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$"
+_WHITE_START = "^[\\t-\\r \\x{85}\\x{A0}]+"
 _ARRAY = T.ArrayType(T.StringType())
 _NEXT = T.StructType([T.StructField("segment", T.StringType()), T.StructField("rest", T.StringType())])
 _DICTIONARIES = ("zh", "th", "lo", "km", "my")
@@ -63,6 +64,14 @@ def _native_word_pattern() -> str:
     return f"(?s)\\r\\n|{ranges('w')}++|{word}|."
 
 
+_NATIVE_GRAPHEME = "(?s)\\r\\n|."
+
+
+def native_pattern(break_type: str) -> str:
+    """The segments of a text that LATIN covers, as a Java pattern."""
+    return _native_word_pattern() if break_type == "word" else _NATIVE_GRAPHEME
+
+
 def native_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_native_word_pattern()), F.lit(0))
 
@@ -79,13 +88,17 @@ def _arrow(f, kind: T.DataType) -> Column:
     return run
 
 
+def _native(break_type: str, seg: Segmenter) -> bool:
+    return break_type == "grapheme" or (break_type == "word" and not seg.dictionary)
+
+
 def _split(text: Column | str, break_type: str, locale: str | None, suppressions: bool, trim: bool, paths, how: str) -> Column:
     c, seg = _col(text), segmenter(break_type, locale, suppressions, paths)
     run = _arrow(getattr(seg, how), _ARRAY)
-    if break_type == "word" and not seg.dictionary:
-        out = F.when(c.rlike(LATIN), native_words(c)).otherwise(run(F.when(~c.rlike(LATIN), c)))
-    elif break_type == "grapheme":
-        out = F.when(c.rlike(LATIN), F.regexp_extract_all(c, F.lit("(?s)\\r\\n|."), F.lit(0))).otherwise(run(F.when(~c.rlike(LATIN), c)))
+    if _native(break_type, seg):
+        # texts that the pattern covers reach Python as null; one look at a text decides both
+        other = F.when(~c.rlike(LATIN), c)
+        out = F.when(other.isNull(), F.regexp_extract_all(c, F.lit(native_pattern(break_type)), F.lit(0))).otherwise(run(other))
     else:
         out = run(c)
     return trim_segments(out) if trim else out
@@ -136,13 +149,20 @@ def trim_segments(segments: Column | str) -> Column:
 
 def next_segment(text: Column | str, break_type: str = "word", *, locale: str | None = None, suppressions: bool = True, trim: bool = False, dictionary_paths: dict[str, str] | None = None) -> Column:
     """struct<segment, rest> of the first segment; null at the end."""
-    seg = segmenter(break_type, locale, suppressions, dictionary_paths)
+    c, seg = _col(text), segmenter(break_type, locale, suppressions, dictionary_paths)
 
     def first(t: str | None) -> dict | None:
         found = seg.next(t, trim)
         return None if found is None else {"segment": found[0], "rest": found[1]}
 
-    return _arrow(first, _NEXT)(_col(text))
+    run = _arrow(first, _NEXT)
+    if not _native(break_type, seg):
+        return run(c)
+    other = F.when(~c.rlike(LATIN), c)
+    begun = F.regexp_replace(c, _WHITE_START, "") if trim else c  # white space never joins what follows it here
+    segment = F.regexp_extract(begun, f"^(?:{native_pattern(break_type).removeprefix('(?s)')})".replace("^", "(?s)^", 1), 0)
+    plain = F.when(segment != "", F.struct(segment.alias("segment"), F.substr(begun, F.length(segment) + 1).alias("rest")))
+    return F.when(other.isNull(), plain).otherwise(run(other))
 
 
 def is_break(before: Column | str, after: Column | str, break_type: str = "word", *, locale: str | None = None, suppressions: bool = True, dictionary_paths: dict[str, str] | None = None) -> Column:

@@ -17,10 +17,14 @@ def caseless_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 
 
 def token_counts(df: DataFrame, text_col: str = "text", *by: str, caseless: bool = False) -> DataFrame:
-    """Counts of word-like tokens, by further columns if named.  Counts are summed before the shuffle."""
-    words = explode_segments(df.select(text_col, *by), text_col).where(G.word_like("segment"))
-    token = G.fold("segment") if caseless else F.col("segment")
-    return words.groupBy(*by, token.alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of word-like tokens, by further columns if named.
+
+    Counts are summed before the shuffle, and what is asked of a token (whether it is like a word, how it folds) is
+    asked once for each distinct segment and not for each occurrence.
+    """
+    counts = explode_segments(df.select(text_col, *by), text_col).groupBy(*by, "segment").agg(F.count(F.lit(1)).alias("n"))
+    words = counts.where(G.word_like("segment")).withColumnRenamed("segment", "token")
+    return words.groupBy(*by, G.fold("token").alias("token")).agg(F.sum("n").alias("n")) if caseless else words.select(*by, "token", "n")
 
 
 def top_tokens(df: DataFrame, k: int, text_col: str = "text", *by: str, caseless: bool = False) -> DataFrame:
