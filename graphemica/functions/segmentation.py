@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +35,10 @@ def dictionaries(paths: dict[str, str] | None = None) -> dict[str, Dictionary]:
 
 def segmenter(break_type: str, locale: str | None = None, suppressions: bool = True, paths: dict[str, str] | None = None) -> Segmenter:
     words: frozenset[str] = frozenset()
-    if check_break(break_type) == "sentence" and suppressions and (spark := SparkSession.getActiveSession()):
+    if check_break(break_type) == "sentence" and suppressions:
         from graphemica.sources.cldr import suppression_words
 
-        words = suppression_words(spark, locale)
+        words = suppression_words(locale)
     return Segmenter(break_type, locale, suppressions, words, dictionaries(paths))
 
 
@@ -120,8 +120,7 @@ def split_by_locale(text: Column | str, locale: Column | str, break_type: str =
     from graphemica.sources.cldr import suppression_words
 
     check_break(break_type)
-    spark = SparkSession.getActiveSession()
-    words = {loc: suppression_words(spark, loc) for loc in SEGMENTATION_LOCALES} if break_type == "sentence" and suppressions and spark else {}
+    words = {loc: suppression_words(loc) for loc in SEGMENTATION_LOCALES} if break_type == "sentence" and suppressions else {}
     tables = {name: class_table(break_type, name) for name in ("root", "el")}
     known = dictionaries()
 
@@ -189,6 +188,25 @@ def break_at(before: Column | str, after: Column | str, break_type: str = "word"
     return F.when(both, F.struct(op.alias("op"), b.alias("before"), F.when(empty, F.lit("")).otherwise(first).alias("matched"), F.when(empty, a).otherwise(rest).alias("rest")))
 
 
+def decide_by_rules(text: Column | str, break_type: str = "word", *, locale: str = "root", folder: str | None = None, suppressions: bool = False) -> Column:
+    """array<string> with break or no_break for each place between two characters, by LDML rules alone.
+
+    For rules of one's own: each place is decided by itself, so long texts belong to ``split``.  Null gives null.
+    """
+    from graphemica.kernels.rules import compile_rules, evaluate_rules
+    from graphemica.sources import cldr
+
+    kind = {"grapheme": "grapheme_cluster_break"}.get(check_break(break_type), f"{break_type}_break")
+    data = cldr.segment_data(locale, kind, folder)
+    listed = [*data.suppressions, *cldr.suppressions(locale, break_type)] if suppressions else []
+    rules = compile_rules(data.rules, data.variables, listed)
+
+    def decide(t: str | None) -> list[str] | None:
+        return None if t is None else [evaluate_rules((t[:i], t[i:]), rules)[0] for i in range(1, len(t))]
+
+    return _arrow(decide, _ARRAY)(_col(text))
+
+
 @functools.lru_cache(1)
 def _word_like_pattern() -> str:
     """Alphabetic or numeric characters, as ranges from the Unicode tables of this package."""

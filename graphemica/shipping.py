@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -20,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), "graphemica.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file for as long as it lives
+    path = os.path.join(folder, "graphemica.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*")):
             if f.is_file() and "__pycache__" not in f.parts:

@@ -1,4 +1,4 @@
-"""Segmentation metadata: suppressions from the ICU library in the JVM, rules and variables from LDML files."""
+"""Segmentation metadata: suppressions from the ICU library, rules and variables from LDML files."""
 
 from __future__ import annotations
 
@@ -9,51 +9,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from graphemica.kernels.locales import SEGMENTATION_LOCALES, ancestors, segmentation_locale
+from graphemica.sources.icu import sentence_exceptions
 
 _SETS = {"GraphemeClusterBreak": "grapheme_cluster_break", "LineBreak": "line_break", "SentenceBreak": "sentence_break", "WordBreak": "word_break"}
 #: LDML files of this package: variables and rules of root, and of the locales that have their own.
 BUNDLED = Path(__file__).parent / "ldml"
-_suppressions: dict[str, tuple[str, ...]] = {}
 
 
-def suppressions(spark: SparkSession, locale: str | None = None, break_type: str = "sentence") -> list[str]:
-    """Abbreviations after which a sentence goes on, as CLDR lists them; none for other breaks."""
+def suppressions(locale: str | None = None, break_type: str = "sentence") -> list[str]:
+    """Abbreviations after which a sentence goes on, as CLDR lists them (read from the ICU library among Spark's jars); a
+    locale's come after those of its ancestors.  None for other breaks."""
     if break_type != "sentence":
         return []
-    where = segmentation_locale("sentence", locale)
-    out: list[str] = []
-    inherited: tuple[str, ...] = ()
-    for name in reversed(ancestors(where)):
-        if name not in _suppressions:
-            _suppressions[name] = _read(spark, name)
-        if _suppressions[name] != inherited:  # ICU hands a parent's list down
-            out += _suppressions[name]
-            inherited = _suppressions[name]
-    return out
-
-
-def _read(spark: SparkSession, locale: str) -> tuple[str, ...]:
-    from py4j.protocol import Py4JJavaError
-
-    bundles = spark._jvm.com.ibm.icu.util.UResourceBundle
-    try:
-        tag = locale.replace("-", "_")
-        found = bundles.getBundleInstance("com/ibm/icu/impl/data/icudata/brkitr", tag)
-        if found.getLocale().toString() not in (tag, "") or (locale == "root"):
-            return ()
-        listed = found.get("exceptions").get("SentenceBreak")
-        return tuple(listed.getString(i) for i in range(listed.getSize()))
-    except Py4JJavaError:  # the locale has no list
-        return ()
+    return [x for name in reversed(ancestors(segmentation_locale("sentence", locale))) for x in sentence_exceptions(name)]
 
 
-def suppression_words(spark: SparkSession, locale: str | None) -> frozenset[str]:
+def suppression_words(locale: str | None) -> frozenset[str]:
     """Lower case, without the periods at the end: what the sentence kernel looks up."""
-    return frozenset(s.strip().rstrip(".").strip().lower() for s in suppressions(spark, locale))
+    return frozenset(s.strip().rstrip(".").strip().lower() for s in suppressions(locale))
 
 
 def suppressions_frame(spark: SparkSession) -> DataFrame:
-    rows = [(loc, "sentence", i, s) for loc in SEGMENTATION_LOCALES for i, s in enumerate(suppressions(spark, loc))]
+    rows = [(loc, "sentence", i, s) for loc in SEGMENTATION_LOCALES for i, s in enumerate(suppressions(loc))]
     return spark.createDataFrame(rows, "locale string, break_type string, ordinal int, value string")
 
 
