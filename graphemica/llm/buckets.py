@@ -57,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             return context.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/graphemica-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
@@ -69,4 +69,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for df in tables:
+        session, path = df.sparkSession, df._written_to
+        where = session._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphemica.llm.buckets import materialize
+from graphemica.llm.buckets import discard, materialize
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns u, v of one type with an order); component is its least node.
 
-    Nodes without links don't appear; self links and repeated links change nothing; null ends are ignored.
+    Nodes without links don't appear; self links and repeated links change nothing; null ends are ignored.  Each round's
+    table goes when the next one is written; the last one stays.
     """
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(now, "links")
@@ -40,6 +41,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if mark == before or mark[0] == 0:
             break
         before = mark
-        now = materialize(_star(_star(now, small=False), small=True), "links")
+        done, now = now, materialize(_star(_star(now, small=False), small=True), "links")
+        discard(done)
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

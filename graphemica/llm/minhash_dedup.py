@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphemica.llm.buckets import bucket_count, corpus_size, cut_by_bucket, materialize
+from graphemica.llm.buckets import bucket_count, corpus_size, cut_by_bucket, discard, materialize
 from graphemica.llm.components import connected_components
 from graphemica.llm.textarrays import Words, gaps, mix, pack, release, unpack, window_hashes
 
@@ -352,7 +352,9 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     cells = _cells(nodes, found).join(vectors, "digest").groupBy("band", "key", "p", "q")
     across = materialize(cells.applyInArrow(_across(threshold), "u binary, v binary"), "across")
     if not across.isEmpty():
-        found = materialize(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across)), "found")
+        first, found = found, materialize(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across)), "found")
+        discard(first)
+    discard(nodes, pairs, vectors, across)  # what is left to do reads signatures and components
     # documents of a group of several meet its head by digest and a salt; the others need no join
     heads = found.join(counted, found.node == counted.digest).groupBy("component").agg(F.min("head").alias("top"))
     grouped = counted.join(found.join(heads, "component").select(F.col("node").alias("digest"), "top"), "digest", "left").where("n > 1 or top is not null")
