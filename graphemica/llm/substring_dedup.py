@@ -33,6 +33,8 @@ WINDOW = 20
 #: A perfect difference cover: every difference modulo 13 is one of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _LAST = (1 << 63) - 1
+#: Shares of a bucket by which ids are weighed, and what a row weighs besides its text.
+GRAINS, ROW_BYTES = 1024, 64
 _SENT = "hb long, dest long, blob binary"
 _SENT_ARROW = pa.schema([("hb", pa.int64()), ("dest", pa.int64()), ("blob", pa.binary())])
 
@@ -160,16 +162,18 @@ def _cut(window: int, buckets: int, schema: pa.Schema, carry: list[str]) -> Call
 def _ranges(keyed: DataFrame, rows: int, size: int, buckets: int) -> Callable:
     """A function of (id, tie) to buckets: ranges of ids that hold about equal bytes.
 
-    Quantiles are taken over ids that stand once for each average row's bytes that they have, so long documents
-    count as what they are.  An id that several quantiles name fills the buckets between them: its rows are dealt
-    to these by ranges of ``__tie``.  One number per bucket comes to the driver.  (Quantiles are doubles, so ids
-    beyond 2^53 are not cut, but those without an id are.)
+    Quantiles are taken over ids that stand as often as they have shares of bytes (GRAINS a bucket, the rest of a share
+    by chance, from a hash), so long documents count as what they are.  An id that several quantiles name fills the
+    buckets between them: its rows are dealt to these by ranges of ``__tie``.  One number per bucket comes to the
+    driver.  (Quantiles are doubles, so ids beyond 2^53 are not cut, but those without an id are.)
     """
     if not rows or buckets < 2:
         edges = np.zeros(0)
     else:
-        times = 1 + F.floor(F.octet_length("__text") / F.lit(max(1.0, size / rows)))
-        weighed = keyed.select(F.explode(F.array_repeat(F.coalesce("__id", F.lit(_LAST)), F.coalesce(times, F.lit(1)).cast("int"))).alias("i"))
+        share = (size + ROW_BYTES * rows) / (buckets * GRAINS)
+        chance = F.pmod(F.xxhash64("__id", "__tie", F.lit("share")), F.lit(1 << 20)) / float(1 << 20)
+        times = F.floor((F.coalesce(F.octet_length("__text"), F.lit(0)) + ROW_BYTES) / F.lit(share) + chance).cast("int")
+        weighed = keyed.select(F.explode(F.array_repeat(F.coalesce("__id", F.lit(_LAST)), times)).alias("i"))
         edges = np.array(weighed.approxQuantile("i", [i / buckets for i in range(1, buckets)], 0.2 / buckets))
     values, times = np.unique(edges, return_counts=True)
     exact = (np.abs(values) < 2.0**53) | (values >= float(_LAST))
