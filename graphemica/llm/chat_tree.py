@@ -21,7 +21,6 @@ spread over as many parts as it fills.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -81,20 +80,6 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _digest(role: str, text: str) -> bytes:
-    return hashlib.blake2b(f"{len(role)}:{role}{text}".encode(), digest_size=16).digest()
-
-
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [b"".join(_digest(t["role"], t["text"]) for t in turns) for turns in batch.column("turns").to_pylist()]
-        yield batch.append_column("path", pa.array(keys, pa.binary()))
-
-
-def _turn_keys(path: bytes) -> list[bytes]:
-    return [path[i : i + 16] for i in range(0, len(path), 16)]
-
-
 def _common(a: list[bytes], b: list[bytes]) -> int:
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
@@ -108,9 +93,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
             paths = batch.column("path")
-            first, last = first or (paths[0].as_py(),), paths[len(paths) - 1].as_py()
-    if first:
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": pa.array([first[0]], pa.binary()), "last": pa.array([last], pa.binary())})
+            first, last = paths[0].as_py() if first is None else first, paths[len(paths) - 1].as_py()
+    if first is not None:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": pa.array([first], pa.list_(pa.binary())), "last": pa.array([last], pa.list_(pa.binary()))})
 
 
 class _Writer:
@@ -129,8 +114,7 @@ class _Writer:
         for k, n in enumerate(self.outside):
             n["here"] = -1 - k
 
-    def add(self, conv_id: int | None, turns: list[dict], path: bytes) -> None:
-        keys = _turn_keys(path)
+    def add(self, conv_id: int | None, turns: list[dict], keys: list[bytes]) -> None:
         same = _common(keys, [k for k, _ in self.stack])
         del self.stack[same:]
         for key, turn in zip(keys[same:], turns[same:], strict=True):
@@ -182,19 +166,17 @@ def _packer(most: int, shared: dict[int, int]):
     return run
 
 
-def _places(shared: dict[int, int]):
-    """Outside nodes that a part shares with those before it: where their text is."""
+_PLACES = "part int, places array<struct<at: long, part: int, block: int, start: long, end: long, loss: struct<start: long, end: long>>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                for k, (node, place) in enumerate(zip(row["outside"], shared.get(row["part"], ()), strict=False)):
-                    if node["part"] == row["part"] and node["start"] == place["at"]:
-                        row["outside"][k] = {**node, **{c: place[c] for c in ("part", "block", "start", "end", "loss")}}
-            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(BLOCKS))
 
-    return run
+def _with_places(blocks: DataFrame, found: list[tuple]) -> DataFrame:
+    """Outside nodes that a part shares with those before it get the place of their text."""
+    known = blocks.sparkSession.createDataFrame(found, _PLACES)
+    place = lambda k: F.get("places", k)
+    moved = lambda o, k: F.struct(place(k)["part"].alias("part"), place(k)["block"].alias("block"), place(k)["start"].alias("start"), place(k)["end"].alias("end"), o["position"].alias("position"), place(k)["loss"].alias("loss"))
+    shared = lambda o, k: F.coalesce((o["part"] == F.col("part")) & (o["start"] == place(k)["at"]), F.lit(False))
+    outside = F.transform("outside", lambda o, k: F.when(shared(o, k), moved(o, k)).otherwise(o))
+    return blocks.join(known, "part", "left").withColumn("outside", outside).select(*(f.name for f in BLOCKS))
 
 
 def format_conversations(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -210,23 +192,25 @@ def format_conversations(rows: DataFrame, *, block: int = BLOCK) -> DataFrame:
     shared_folder(spark)
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    pathed = convs.mapInArrow(_paths, convs.withColumn("path", F.lit(b"")).schema)
+    key = lambda t: F.substring(F.unhex(F.sha2(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]), 256)), 1, 16)
+    pathed = convs.withColumn("path", F.transform("turns", key))
     dealt = pathed.repartitionByRange(shuffle_partitions(spark), "path", "conv_id").sortWithinPartitions("path", "conv_id").checkpoint()
-    edges = sorted(map(tuple, dealt.mapInArrow(_edges, "part int, first binary, last binary").collect()))
-    shared = {p: _common(_turn_keys(bytes(first)), _turn_keys(bytes(last))) for (_, _, last), (p, first, _) in zip(edges, edges[1:], strict=False)}
+    edges = sorted(map(tuple, dealt.select("path").mapInArrow(_edges, "part int, first array<binary>, last array<binary>").collect()))
+    shared = {p: _common(list(map(bytes, first)), list(map(bytes, last))) for (_, _, last), (p, first, _) in zip(edges, edges[1:], strict=False)}
     written = materialize(dealt.mapInArrow(_packer(block, shared), _WRITTEN), "chat")
     # one row for each part: the nodes of its last conversation, from which those that the next part shares are known
     tails = {r["part"]: [n.asDict(True) for n in r["tail"]] for r in written.where("tail is not null").select("part", "tail").collect()}
-    found: dict[int, list[dict]] = {}
-    before: list[dict] = []
+    found, before = [], []
     for p, _, _ in edges:
         own, at = [], 0
         for node in before[: shared.get(p, 0)]:  # the places that they have in this part's stream
             own.append({**node, "at": at})
             at += node["end"] - node["start"]
-        found[p] = own
+        if own:
+            found.append((p, [(n["at"], n["part"], n["block"], n["start"], n["end"], n["loss"] and (n["loss"]["start"], n["loss"]["end"])) for n in own]))
         before = [own[i] if n["start"] < at else n for i, n in enumerate(tails[p])]
-    return written.drop("tail").mapInArrow(_places(found), BLOCKS)
+    written = written.drop("tail")
+    return _with_places(written, found) if found else written
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
