@@ -99,4 +99,4 @@ def titlecase(text: Column | str, locale: str | None = None) -> Column:
     native = F.array_join(F.transform(native_words(c), title), "")
     # letters whose title case isn't their upper case are left to the kernel
     plain = c.rlike(LATIN) & ~c.rlike("[\u0130\u0149\u01c4-\u01cc\u01f0-\u01f3]")
-    return F.when(plain, native).otherwise(run(F.when(~plain, c)))
+    return F.coalesce(run(F.when(~plain, c)), native)  # plain texts come back from Python as null

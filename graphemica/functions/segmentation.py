@@ -96,9 +96,8 @@ def _split(text: Column | str, break_type: str, locale: str | None, suppressions
     c, seg = _col(text), segmenter(break_type, locale, suppressions, paths)
     run = _arrow(getattr(seg, how), _ARRAY)
     if _native(break_type, seg):
-        # texts that the pattern covers reach Python as null; one look at a text decides both
-        other = F.when(~c.rlike(LATIN), c)
-        out = F.when(other.isNull(), F.regexp_extract_all(c, F.lit(native_pattern(break_type)), F.lit(0))).otherwise(run(other))
+        # texts that the pattern covers reach Python as null and come back as null, so one look at a text decides both
+        out = F.coalesce(run(F.when(~c.rlike(LATIN), c)), F.regexp_extract_all(c, F.lit(native_pattern(break_type)), F.lit(0)))
     else:
         out = run(c)
     return trim_segments(out) if trim else out

@@ -14,10 +14,10 @@ import unicodedata
 from graphemica.kernels.locales import casing_locale
 
 _DOT = "\u0307"
-#: Marks that Greek upper case drops, from any letter, and the iota subscript.
+#: Marks that Greek upper case drops, from any letter, and the iota subscript.
 _GREEK_MARKS = frozenset("\u0313\u0314\u0301\u0300\u0306\u0342\u0308\u0304\u0345")
 _TURKIC = ("tr", "az")
-#: Lithuanian letters that keep their dot under an accent: lower case, and whether an accent must follow.
+#: Lithuanian letters that keep their dot under an accent: lower case, and whether an accent must follow.
 _LITHUANIAN = {"I": ("i\u0307", True), "J": ("j\u0307", True), "\u012e": ("\u012f\u0307", True), "\u00cc": ("i\u0307\u0300", False), "\u00cd": ("i\u0307\u0301", False), "\u0128": ("i\u0307\u0303", False)}
 
 
