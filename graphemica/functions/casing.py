@@ -94,9 +94,8 @@ def titlecase(text: Column | str, locale: str | None = None) -> Column:
 
     if where != "any" or words.dictionary:
         return run(c)
-    first = lambda w: F.substring(w, 1, 1)
-    title = lambda w: F.concat(F.when(first(w) == "\u00df", F.lit("Ss")).when(first(w).isin("\u0149", "\u01f0", "\u01c4", "\u01c5", "\u01c6", "\u01c7", "\u01c8", "\u01c9", "\u01ca", "\u01cb", "\u01cc", "\u01f1", "\u01f2", "\u01f3"), F.initcap(first(w))).otherwise(F.upper(first(w))), F.lower(F.substring(w, 2, 1 << 30)))
-    native = F.array_join(F.transform(native_words(c), title), "")
+    # the text is lowered at once, and each word gets its first character back in upper case
+    native = F.array_join(F.transform(native_words(F.lower(c)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
     # letters whose title case isn't their upper case are left to the kernel
-    plain = c.rlike(LATIN) & ~c.rlike("[\u0130\u0149\u01c4-\u01cc\u01f0-\u01f3]")
+    plain = c.rlike(LATIN) & ~c.rlike("[\u0130\u0149\u01c4-\u01cc\u01f0-\u01f3]|(?<![\\p{L}\\p{N}_])\u00df")
     return F.coalesce(run(F.when(~plain, c)), native)  # plain texts come back from Python as null
