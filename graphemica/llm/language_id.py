@@ -145,8 +145,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     if not counts:
         return fit([])
     share, chars = max(1, SAMPLE // len(counts)), SAMPLE_CHARS / len(counts)
-    # far more rows than needed fall under this mark, so sorting has little to do; rare languages pass whole
-    mark = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 16 * share / max(r["n"], 1)))))) if len(counts) <= 1000 else None
+    # more rows than needed (four times as many) fall under this mark, so sorting has little to do; rare languages pass whole
+    mark = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4 * share / max(r["n"], 1)))))) if len(counts) <= 1000 else None
     if mark is not None:
         rows = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= mark[F.col("lang")])
     once = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
