@@ -300,13 +300,14 @@ def sentences(text: str) -> tuple[list[tuple[int, int, str]], Words]:
     words = Words(text)
     finder, found, at = _Finder(words), [], 0
     extra = {i for i, w in enumerate(words.words) if w in _INNER_WORDS and finder._goes_on(i)}
+    within = sorted({*words.commas, *extra})
     for start in sorted({*words.starts, *extra}):
         if start < at or not (got := finder.find(start)):
             continue
         end, name = got
         if name == "copyright":  # what else is said in its line stands on its own
-            inner = next((s for s in sorted({*words.commas, *extra}) if start < s < end and (x := finder.find(s)) and x[1] not in ("copyright", "free-software")), end)
-            end = inner
+            inner = within[bisect_right(within, start) : bisect_left(within, end)]
+            end = next((s for s in inner if (x := finder.find(s)) and x[1] not in ("copyright", "free-software")), end)
         elif words.words[start] == "is":
             start = max(at, words.hard[bisect_right(words.hard, start) - 1])
         elif name == "spdx":
