@@ -330,14 +330,12 @@ def _rules() -> list[tuple[str, list[tuple[str, bool]]]]:
 _ORDERED = _rules()
 
 
-def _fit(rule: list[tuple[str, bool]], ids: list[str], at: int) -> int:
-    """How many identifiers from ``at`` the rule takes, or 0.  Copyright lines may repeat."""
+def _fit(rule: list[tuple[str, bool]], ids: list[str], at: int, stop: int) -> int:
+    """How many identifiers from ``at`` the rule takes, or 0."""
     i = at
     for name, needed in rule:
-        if i < len(ids) and ids[i] == name:
+        if i < stop and ids[i] == name:
             i += 1
-            while name == "copyright" and i < len(ids) and ids[i] == name:
-                i += 1
         elif needed:
             return 0
     return i - at
@@ -349,15 +347,20 @@ def matches(text: str) -> list[tuple[str, str, int, int]]:
         return []
     found, words = sentences(text)
     edges = sorted({*words.hard, *(a for a, _, _ in found), *(b for _, b, _ in found)})
-    ids, out, i = [name for _, _, name in found], [], 0
-    titled = ""
+    known: list[tuple[int, int, str]] = []
+    for a, b, name in found:  # copyright lines that follow each other are one statement
+        if name == "copyright" and known and known[-1][1:] == (a, name):
+            a = known.pop()[0]
+        known.append((a, b, name))
+    found, ids = known, [name for _, _, name in known]
+    stops = list(range(1, len(found) + 1))  # where other words come between
+    for k in range(len(found) - 2, -1, -1):
+        if found[k][1] == found[k + 1][0]:
+            stops[k] = stops[k + 1]
+    out, i, titled = [], 0, ""
     while i < len(found):
-        run = 1  # sentences without other words between them
-        while i + run < len(found) and found[i + run][0] == found[i + run - 1][1]:
-            run += 1
-        near = ids[i : i + run]
         for name, rule in _ORDERED:
-            if size := _fit(rule, near, 0):
+            if size := _fit(rule, ids, i, stops[i]):
                 break
         else:
             size, name = 1, "UNKNOWN"
