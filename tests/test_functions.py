@@ -65,6 +65,17 @@ def test_literals(spark):
         G.is_break(F.lit("a"), F.lit("b"), "word", locale="th", dictionary_paths={"th": "/nowhere"})
 
 
+def test_resources_equal_icu(spark):
+    """The files as read here against ICU's own reader in the JVM."""
+    from graphemica.sources.icu import sentence_exceptions
+
+    bundles = spark._jvm.com.ibm.icu.util.UResourceBundle
+    for locale in ("de", "en", "es", "fr", "it", "pt", "ru"):
+        listed = bundles.getBundleInstance("com/ibm/icu/impl/data/icudata/brkitr", locale).get("exceptions").get("SentenceBreak")
+        assert list(sentence_exceptions(locale)) == [listed.getString(i) for i in range(listed.getSize())]
+    assert sentence_exceptions("fi") == sentence_exceptions("xx") == ()
+
+
 def test_suppressions(spark):
     assert {x: len(suppressions(x)) for x in ("de", "en", "es", "fr", "it", "pt", "ru", "root", "en-US")} == {"de": 241, "en": 151, "es": 164, "fr": 82, "it": 45, "pt": 172, "ru": 18, "root": 0, "en-US": 151}
     rows = spark.createDataFrame([("Non, c'est M. Dubois.", "fr"), ("Non, c'est M. Dubois.", "xx"), (None, "fr"), ("a. B", None)], "t string, lang string")
