@@ -135,6 +135,21 @@ def test_keep_first(spark):
     assert m.keep_first(maps, m.minhash_dedup(maps)).count() == 5
 
 
+def test_samples_agree_as_often_as_documents_are_similar():
+    """Each round has texts of its own: rounds that share one text share its luck, and their mean strays by more than 0.06."""
+    rng = np.random.default_rng(2)
+    agree = similar = 0.0
+    for _ in range(30):
+        a = rng.integers(1, 1 << 64, 400, dtype=np.uint64)
+        w = rng.uniform(1, 3, 400).astype(np.float32)
+        b = a.copy()
+        b[:100] = rng.integers(1, 1 << 64, 100, dtype=np.uint64)
+        x, y = m.icws(np.concatenate([a, b]), np.log(np.concatenate([w, w])), np.array([0, 400]), 30)
+        agree += (x == y).mean()
+        similar += w[100:].sum() / (w.sum() + w[:100].sum())
+    assert abs(agree - similar) / 30 < 0.06
+
+
 def test_samples_are_unbiased_over_independent_texts():
     rng = np.random.default_rng(11)
     agree = similar = 0.0
