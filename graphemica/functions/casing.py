@@ -63,22 +63,34 @@ def _only(kernel_udf, c: Column, where: Column, native: Column) -> Column:
     return F.when(where, kernel_udf(F.when(where, c))).otherwise(native)
 
 
+def _parted(c: Column, own: str, strict: bool) -> tuple[Column, Column]:
+    """(the part up to the first character beyond ASCII that isn't in ``own``, the rest): a locale's rules hold in the first."""
+    if strict:
+        return c, F.substr(c, F.length(c) + 1)
+    head = F.regexp_extract(c, f"^[\\x00-\\x7F{own}]*+", 0)
+    return head, F.substr(c, F.length(head) + 1)
+
+
 def upcase(text: Column | str, locale: str | None = None, strict: bool = False) -> Column:
     c, where = _col(text), casing_locale(locale)
     if where in ("any", "lt", "nl"):
         return F.upper(c)
-    if where in ("tr", "az"):  # plain rows: only the letter i differs
-        return _only(_kernel(kernel.upcase, where, strict), c, c.rlike("[^\\x00-\\x7F]"), F.upper(F.replace(c, F.lit("i"), F.lit("\u0130"))))
+    if where in ("tr", "az"):  # only the letter i differs
+        head, tail = _parted(c, "", strict)
+        return F.concat(F.upper(F.replace(head, F.lit("i"), F.lit("\u0130"))), F.upper(tail))
     return _only(_kernel(kernel.upcase, where, strict), c, c.rlike("[^\\x00-\\x7F]"), F.upper(c))
 
 
 def downcase(text: Column | str, locale: str | None = None, strict: bool = False) -> Column:
     c, where = _col(text), casing_locale(locale)
+    sigma = F.contains(c, F.lit("\u03a3"))  # a final one is told by the whole text
     if where in ("tr", "az"):
-        return _only(_kernel(kernel.downcase, where, strict), c, c.rlike("[^\\x00-\\x7F]"), F.lower(F.replace(c, F.lit("I"), F.lit("\u0131"))))
+        head, tail = _parted(c, "\u0130", strict)
+        plain = F.concat(F.lower(F.translate(head, "\u0130I", "i\u0131")), F.lower(tail))
+        return _only(_kernel(kernel.downcase, where, strict), c, sigma, plain)
     if where == "lt":
         return _only(_kernel(kernel.downcase, where, strict), c, c.rlike("[^\\x00-\\x7F]"), F.lower(c))
-    return _only(_kernel(kernel.downcase, "any", strict), c, F.contains(c, F.lit("\u03a3")), F.lower(c))
+    return _only(_kernel(kernel.downcase, "any", strict), c, sigma, F.lower(c))
 
 
 def titlecase(text: Column | str, locale: str | None = None) -> Column:

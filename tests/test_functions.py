@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,14 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("tokens").collect()} == {("a", 2), ("b", 2)}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("locale", [None, "tr", "az", "lt", "el", "nl"])
+def test_casing_columns_equal_kernels(spark, locale, strict):
+    """Expressions and kernels by turns: the same results on every row."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("iIıİjJ aéÉßΣσΑ\u0307\u0300Ìį.1") for _ in range(rnd.randint(0, 7))) for _ in range(600)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.upcase("t", locale, strict).alias("u"), G.downcase("t", locale, strict).alias("d")).collect()
+    for r in rows:
+        assert r.u == casing.upcase(r.t, locale, strict) and r.d == casing.downcase(r.t, locale, strict), r
