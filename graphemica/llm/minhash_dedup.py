@@ -356,7 +356,8 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         discard(first)
     discard(nodes, pairs, vectors, across)  # what is left to do reads signatures and components
     # documents of a group of several meet its head by digest and a salt; the others need no join
-    heads = found.join(counted, found.node == counted.digest).groupBy("component").agg(F.min("head").alias("top"))
+    # (grouped by a struct, so that the join by component has plain shuffles on both sides and a hot one can be split)
+    heads = found.join(counted, found.node == counted.digest).groupBy(F.struct("component").alias("k")).agg(F.min("head").alias("top")).select("k.component", "top")
     grouped = counted.join(found.join(heads, "component").select(F.col("node").alias("digest"), "top"), "digest", "left").where("n > 1 or top is not null")
     grouped = grouped.select("digest", F.coalesce("top", "head").alias("top"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = signed.select("doc_id", "digest", "th", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int").alias("salt"))
