@@ -10,7 +10,8 @@ The output is cut into parts (one for each task) and these into blocks.  Places
 A node has its range there, the position of its first character within its conversation, the span that counts for
 the loss (the text of an assistant turn), and the ranges of its ancestors, to which it may attend besides itself.
 Depth first, the ancestors of what a block holds are in the block, or on the path that was open when it began: a
-block names those nodes (``outside``) by part, block and range.
+block names those nodes (``outside``) by part, block and range.  Turns that a part shares with the part before it come
+first in its stream, at the places that their positions say, though their text stands elsewhere.
 
 Plan: one aggregate by conversation, one range shuffle by path, kept by a checkpoint, so that the parts stay the same
 while three things happen: each part tells its first and last path (one row of digests for each part comes to the
