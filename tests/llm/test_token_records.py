@@ -13,6 +13,11 @@ from graphemica.llm import token_records as r
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a   b", " x", "a  <|endoftext|> b", "don't  stop\n\n now \t\n", "é  à  x", "", " ", "\n\n", "x" * 5000, "日本 語　 a", None, "a\x1c b", "a\u0085 b", "à Ã  z", "\u00a0  b", "🙂  🙂", "a" * 70_000 + " b"]
 
+A = "a"
+for _ in range(10):  # two words of 1,024 characters that polynomials modulo 2^64 don't tell apart
+    A += A.translate(str.maketrans("ab", "ba"))
+ODD.append(f"{A} {A.translate(str.maketrans('ab', 'ba'))} {A}")
+
 
 @pytest.fixture(scope="module")
 def library():
