@@ -2,8 +2,8 @@
 
 Vectors are scaled to length one and cut into two-dimensional parts with 16 centres each, four bits a part.
 The error of a quantised vector along the vector itself changes its largest products most, so it weighs ETA
-times the error across it (Guo et al. 2020); codebooks and codes minimise that loss by coordinate descent and
-a closed-form update.  A query's products with all centres, rounded to eight bits, make its tables; two parts
+times the error across it (Guo et al. 2020); codes and centres minimise that loss by coordinate descent, a part at
+a time and in closed form.  A query's products with all centres, rounded to eight bits, make its tables; two parts
 share a byte, and a scan adds one table entry per byte.  The SHORTLIST best of a block are reranked by the
 cosine of the original vectors in double precision, and after them every row that could still be among the best:
 the angle between a vector and its quantised form is known, so the scan bounds the angle to the query from below.
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 #: Rows of a cell and queries of a cell, at least and at most; training rows; rows that a cell reranks per query to get a bound,
 #: beyond which it reranks whatever the bound leaves.
 ROWS, MOST_ROWS, QUERIES, MOST_QUERIES, TRAIN, SHORTLIST = 4096, 65536, 1024, 16384, 8192, 192
+#: Bytes of a cell's rows as doubles, and components of the rows reranked at a time: long vectors get smaller cells.
+CELL_BYTES, COMPONENTS = 256 << 20, 1 << 24
 CENTRES, PART, THRESHOLD = 16, 2, 0.2
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -82,21 +84,24 @@ def fit(vectors: np.ndarray, rounds: int = 6) -> Codebook:
     eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     seed = np.random.Generator(np.random.PCG64(4))
     centres = np.stack([x[seed.choice(n, CENTRES, replace=n < CENTRES), p] for p in range(m)])
-    book = Codebook(centres, eta)
-    size = m * CENTRES * PART
     for _ in range(rounds):
-        codes = book.encode(units, sweeps=1)
-        # one equation per centre coordinate: (counts + (eta - 1) Z'Z) c = eta Z'1, where row i of Z holds x_i at its codes
-        z = np.zeros((n, m, CENTRES, PART), dtype=np.float32)
-        z[np.arange(n)[:, None], np.arange(m), codes] = x
-        z = z.reshape(n, size)
-        counts = np.zeros((m, CENTRES))
-        np.add.at(counts, (np.arange(m)[None, :].repeat(n, 0), codes), 1)
-        left = (eta - 1) * (z.T @ z).astype(np.float64)
-        left[np.arange(size), np.arange(size)] += np.repeat(counts.ravel(), PART) + 1e-3
-        right = eta * z.sum(axis=0, dtype=np.float64) + 1e-3 * book.centres.ravel()
-        book = Codebook(np.linalg.solve(left, right).reshape(m, CENTRES, PART), eta)
-    return book
+        codes = Codebook(centres, eta).encode(units, sweeps=1)
+        # part by part, with the others fixed: for the rows of a centre, (n + (eta - 1) sum x x') c = eta sum x - (eta - 1) sum x r,
+        # where r is what the other parts' centres already give of the product with the row
+        shares = np.einsum("nmp,nmp->nm", x, centres[np.arange(m), codes])
+        total = shares.sum(axis=1)
+        for p in range(m):
+            own, code = x[:, p], codes[:, p]
+            rest = total - shares[:, p]
+            left = np.zeros((CENTRES, PART, PART))
+            np.add.at(left, code, (eta - 1) * own[:, :, None] * own[:, None, :])
+            left += (np.bincount(code, minlength=CENTRES) + 1e-3)[:, None, None] * np.eye(PART)
+            right = 1e-3 * centres[p]
+            np.add.at(right, code, own * (eta - (eta - 1) * rest)[:, None])
+            centres[p] = np.linalg.solve(left, right[:, :, None])[:, :, 0]
+            shares[:, p] = (own * centres[p, code]).sum(axis=1)
+            total = rest + shares[:, p]
+    return Codebook(centres, eta)
 
 
 def pack_codes(codes: np.ndarray) -> np.ndarray:
@@ -196,8 +201,9 @@ def _cell(book: Codebook, d: int, best: int, shortlist: int):
         units = _unit(x)
         reach = _Reach(book, units, packed)
         n, out = len(ids), []
-        for a in range(0, len(q), 128):
-            mine, own = q[a : a + 128], qids[a : a + 128]
+        together = max(1, min(128, COMPONENTS // (max(shortlist, best) * d)))
+        for a in range(0, len(q), together):
+            mine, own = q[a : a + together], qids[a : a + together]
             mine_units = _unit(mine)
             eight, step, low = _tables(book, mine_units)
             sums = _sums(eight, packed)
@@ -254,9 +260,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
             continue
         own = rows.where(F.size("v") == d)
         draw = F.pmod(F.xxhash64("id", "v", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-        sample = own.where(draw < TRAIN / n).select("id", "v").limit(2 * TRAIN).collect() or own.select("id", "v").limit(TRAIN).collect()
+        learned = min(TRAIN, max(256, COMPONENTS // (4 * d)))
+        sample = own.where(draw < learned / n).select("id", "v").limit(2 * learned).collect() or own.select("id", "v").limit(learned).collect()
         book = fit(np.array([r[1] for r in sorted(sample)], dtype=np.float64))
-        size = min(MOST_ROWS, max(ROWS, int(math.sqrt(n) * 4)))
+        size = min(MOST_ROWS, max(256, CELL_BYTES // (8 * d)), max(ROWS, int(math.sqrt(n) * 4)))
         row_blocks, query_blocks = -(-n // size), -(-q // min(MOST_QUERIES, max(QUERIES, size // 4)))
         codes = own.select("id", "v").mapInArrow(_encoder(book, d), f"id long, v array<{kind}>, codes binary")
         # blocks are drawn by id and vector, so not even the vectors of one id share a block

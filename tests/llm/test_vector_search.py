@@ -81,6 +81,14 @@ def test_tight_clusters(spark, members, noise):
     assert hits >= 0.99 * 200
 
 
+def test_long_vectors_get_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(v, "CELL_BYTES", 1)
+    monkeypatch.setattr(v, "COMPONENTS", 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(900)]
+    assert {q: [i for i, _ in x] for q, x in run(spark, rows, 300).items()} == {q: [i for i, _ in x] for q, x in brute(rows, 300).items()}
+
+
 def test_components_of_any_size(spark):
     rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [3e-310, 1e-310]), (3, [1.0, 2.5]), (4, [-1e-200, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
