@@ -4,7 +4,6 @@ import random
 import time
 
 import pytest
-from conftest import SMALL
 
 from graphemica.kernels import rules as r
 from graphemica.kernels.dictionary import Dictionary, greedy_word
